@@ -21,14 +21,20 @@ from pyspark.sql import types as T
 from quern.catalog import Catalog
 from quern.errors import FormatError, SchemaError
 from quern.operators import statistics as S
+from quern.plans import catalyst as C
 from quern.schema import Schema
-from quern.storage import Files
+from quern.storage import Files, written
 
 POS, STRIPE = "_row_pos", "stripe_id"
 VERSION = 1
 KNOWN_FLAGS = ("stats", "filters")
 
 
+def _repeats(plan: Any) -> bool:
+    """Whether a plan gives the same rows in the same tasks each time it runs: projections of files or local rows."""
+    return C.kind(plan) in ("LogicalRelation", "LocalRelation", "LogicalRDD") or (C.kind(plan) in ("Project", "Filter") and all(_repeats(c) for c in C.children(plan)))
+
+
 def positioned(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """``df`` with ``_row_pos`` 0, 1, ...: by the given columns, else in the order of reading.
 
@@ -39,10 +45,8 @@ def positioned(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         df = df.orderBy(*order_by)
     spark = df.sparkSession
     marked = df.withColumn("_at", F.monotonically_increasing_id())
-    if order_by:  # a sort samples anew each time it runs: keep what it dealt
-        from quern.storage import written
-
-        marked = written(marked, "sorted")
+    if not _repeats(C.optimised(df)):  # a shuffle may deal otherwise when it runs again: keep what it dealt
+        marked = written(marked, "dealt")
     task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = marked.select(task.alias("_task")).groupBy("_task").count().orderBy("_task").collect()  # one row per task
     first, total = [], 0

@@ -58,15 +58,19 @@ class Session:
     def sql(self, query: str) -> DataFrame:
         df = self.spark.sql(query)
         plan = C.optimised(df)
-        by_path = {C.plain(f"{d.path}/data"): n for n, d in self.tables.items()}
+        by_path: dict[str, list[str]] = {}  # a dataset may have several names
+        for n, d in self.tables.items():
+            by_path.setdefault(C.plain(f"{d.path}/data"), []).append(n)
         self.last = {}
-        if (quick := metadata.answer(plan, {p: self.tables[n] for p, n in by_path.items()})) is not None:
+        if (quick := metadata.answer(plan, {p: self.tables[n[0]] for p, n in by_path.items()})) is not None:
             self.last = {"*": "metadata"}
             return quick
         needed: dict[str, set[int]] = {}
         for relation, conditions in C.filters(plan):
-            if len(at := C.roots(relation)) == 1 and (name := by_path.get(C.plain(at[0]))):
-                needed.setdefault(name, set()).update(pruning.kept_stripes(self.tables[name], conditions))
+            if len(at := C.roots(relation)) == 1 and (names := by_path.get(C.plain(at[0]))):
+                kept = pruning.kept_stripes(self.tables[names[0]], conditions)
+                for name in names:
+                    needed.setdefault(name, set()).update(kept)
         fewer = {n: sorted(k) for n, k in needed.items() if len(k) < self.tables[n].n_stripes}
         self.last = {n: sorted(k) for n, k in needed.items()}
         if not fewer:
