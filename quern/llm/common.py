@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +58,12 @@ def columns_for(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{src}`").alias(dst) for dst, src in wanted.items()))
 
 
-def by_rows(batch_columns: list, size: int) -> Iterator[tuple]:
-    """Rows of Arrow columns, turned into Python values a slice at a time to bound memory."""
-    n = len(batch_columns[0])
-    for at in range(0, n, size):
-        yield from zip(*(c.slice(at, size).to_pylist() for c in batch_columns), strict=True)
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names with dots or repeated names can then be told apart."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def rows_mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` with its batches passed through ``run``, which keeps their columns and finds them by place."""
+    plain = plain_names(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import columns_for
+from quern.llm.common import columns_for, rows_mapped
 from quern.llm.text import search, words
 
 HITS = "doc_id long, item_id long, distance long, n_words long, first_word long, end_word long, n_hits long"
@@ -141,7 +141,7 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = 0.15, piece_w
             for batch in batches:
                 yield batch.filter(pa.array([next(match(t.as_py()), None) is None for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = rows_mapped(docs, run)
     return docs
 
 

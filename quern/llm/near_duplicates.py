@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import columns_for, discard, written
+from quern.llm.common import columns_for, discard, plain_names, written
 from quern.llm.text import banded_distance, words
 
 SHINGLE, FUNCTIONS, MINIMA, SIMILARITY = 5, 40, 2, 0.8
@@ -211,14 +211,15 @@ def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, key: str = "do
     if (n := going.count()) == 0:
         return docs
     lists = F.broadcast(going) if n <= broadcast_rows else going
-    hexed = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    names, docs = docs.columns, plain_names(docs)
+    key, text = (f"c{names.index(c)}" for c in (key, text))
+    hexed = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     half = lambda at: F.conv(F.concat(*[F.substring("_hex", at + 14 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")
     marked = docs.withColumn("_hex", hexed).withColumns({"_a": half(1), "_b": half(17)}).drop("_hex")
-    on = F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_a") == F.col("_d1")) & (F.col("_b") == F.col("_d2"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    clean = marked.join(lists, on, "left_anti").select(columns)
+    on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_a") == F.col("_d1")) & (F.col("_b") == F.col("_d2"))
+    clean = marked.join(lists, on, "left_anti").select(docs.columns)
     repeated = going.where("_stays")
     if repeated.limit(1).count() == 0:
-        return clean
-    some = marked.join(F.broadcast(repeated) if n <= broadcast_rows else repeated, on, "left_semi").dropDuplicates([key, "_a", "_b"]).select(columns)
-    return clean.unionByName(some)
+        return clean.toDF(*names)
+    some = marked.join(F.broadcast(repeated) if n <= broadcast_rows else repeated, on, "left_semi").dropDuplicates([key, "_a", "_b"]).select(docs.columns)
+    return clean.unionByName(some).toDF(*names)

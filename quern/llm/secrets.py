@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import columns_for
+from quern.llm.common import columns_for, rows_mapped
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -141,4 +141,4 @@ def redacted(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]", text: st
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_mapped(docs, run)
