@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import columns_for, discard, new_path, written
@@ -137,31 +137,34 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     stride = (length + 1) * int(id_type(encoder(tokenizer).vocab_size)[-1])
     table = written(sequences(columns_for(docs, k=key, t=text), length, tokenizer), "tokens")
-    counts = table.groupBy("task").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # One row per task: prefix sums in two levels, so that no window holds all tasks of a large job.
-    group = F.floor(F.col("task") / 1024)
-    inner = counts.select("task", group.alias("g"), "n").withColumn("inner", F.sum("n").over(Window.partitionBy("g").orderBy("task")) - F.col("n"))
-    outer = counts.groupBy(group.alias("g")).agg(F.sum("n").alias("gn"))
-    base = inner.join(outer.withColumn("head", F.sum("gn").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1))), "g").select("task", (F.col("inner") + F.coalesce("head", F.lit(0))).alias("base"))
-    permute = Permutation(int(total), seed)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number = batch.column("number").to_numpy()
-            yield batch.append_column("slot", pa.array(permute.slots(number), pa.int64()))
-
-    meta = table.join(base, "task").select("task", "local_no", "n_tokens", "doc_ids", "ids_crc32", (F.col("base") + F.col("local_no")).alias("number"))
-    meta = meta.mapInArrow(place, "task int, local_no long, n_tokens int, doc_ids array<long>, ids_crc32 long, number long, slot long")
-    numbered = table.join(base, "task").select((F.col("base") + F.col("local_no")).alias("number"), "ids").mapInArrow(place, "number long, ids binary, slot long")
-    shards = -(-int(total) // per_shard)
+    # One number per task, as many as Spark's scheduler itself keeps.
+    counts = {r.task: r.n for r in table.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    size = np.array([counts.get(t, 0) for t in range(max(counts, default=-1) + 1)], np.int64)
+    first, total = np.cumsum(size) - size, int(size.sum())
+    permute = Permutation(total, seed)
+
+    def placed(lo: int, hi: int):
+        """Rows whose slot is from ``lo`` up to ``hi``, with number and slot."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                number = first[batch.column("task").to_numpy()] + batch.column("local_no").to_numpy()
+                slot = permute.slots(number)
+                out = batch.drop_columns(["task", "local_no"]).append_column("number", pa.array(number)).append_column("slot", pa.array(slot))
+                yield out if hi - lo == total else out.filter(pa.array((slot >= lo) & (slot < hi)))
+
+        return run
+
+    meta = table.drop("ids").mapInArrow(placed(0, total), "n_tokens int, doc_ids array<long>, ids_crc32 long, number long, slot long")
+    shards = -(-total // per_shard)
     before = spark.conf.get(_CLEAN, None)
     separator = "\0" * (stride // (length + 1))
     for r in range(rounds):
         lo, hi = shards * r // rounds, shards * (r + 1) // rounds
         if lo == hi:
             continue
-        mine = numbered.where((F.col("slot") >= lo * per_shard) & (F.col("slot") < hi * per_shard)).select((F.floor(F.col("slot") / per_shard) - lo).cast("int").alias("shard"), "slot", "ids")
+        ids = table.select("task", "local_no", "ids").mapInArrow(placed(lo * per_shard, min(hi * per_shard, total)), "ids binary, number long, slot long")
+        mine = ids.select((F.floor(F.col("slot") / per_shard) - lo).cast("int").alias("shard"), "slot", "ids")
         dealt = mine.repartitionById(hi - lo, F.col("shard")).sortWithinPartitions("slot")
         spark.conf.set(_CLEAN, "true")
         try:
