@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import written
+
 SLICES, SALTS = 256, 16
 
 
@@ -33,9 +35,12 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 
 def with_slots(rows: DataFrame, shard: str, key: str) -> DataFrame:
-    """``rows`` with ``slot``: 0, 1, ... within each shard, by key hash."""
+    """``rows`` with ``slot``: 0, 1, ... within each shard, by key hash.
+
+    The rows are written once: a task's number, which salts them, may be another when they are computed again.
+    """
     groups = [shard, "_slice", "_salt"]
-    dealt = rows.withColumns({"_hash": F.xxhash64(key), "_salt": F.spark_partition_id() % SALTS}).withColumn("_slice", F.shiftrightunsigned("_hash", 56).cast("int"))
+    dealt = written(rows.withColumns({"_hash": F.xxhash64(key), "_salt": F.spark_partition_id() % SALTS}).withColumn("_slice", F.shiftrightunsigned("_hash", 56).cast("int")), "dealt")
     counts = dealt.groupBy(*groups).agg(F.count("*").alias("_n"))  # at most shards * SLICES * SALTS rows
     before = Window.partitionBy(shard).orderBy("_slice", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
