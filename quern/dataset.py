@@ -11,7 +11,9 @@ the tasks before, and put each row into its stripe's folder.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +69,8 @@ class Dataset:
     n_rows: int
     n_stripes: int
     options: dict[str, Any] = field(default_factory=dict)
+    schema_hash: str | None = None
+    _manifest: DataFrame | None = field(default=None, repr=False)
 
     # -- opening
 
@@ -90,7 +94,7 @@ class Dataset:
             raise FormatError(f"{path}: its schema {head['schema_hash']} is in a catalog, and none is given")
         else:
             schema = catalog.resolve(head["schema_hash"])
-        return Dataset(spark, path, schema, head["n_rows"], head["n_stripes"], head.get("options", {}))
+        return Dataset(spark, path, schema, head["n_rows"], head["n_stripes"], head.get("options", {}), schema_hash=head.get("schema_hash"))
 
     # -- reading
 
@@ -136,8 +140,8 @@ class Dataset:
         """Rows by position; beyond the dataset is an error."""
         from quern.operators.shred import slice_rows
 
-        size = self.options.get("stripe_rows") or max(self.n_rows, 1)
-        kept = list(range(start // size, min(self.n_stripes, -(-(start + length) // size)))) if 0 <= start and length > 0 else []
+        ends = list(accumulate(self.stripe_row_counts()))
+        kept = list(range(bisect_right(ends, start), min(self.n_stripes, bisect_left(ends, start + length) + 1))) if 0 <= start and length > 0 else []
         return slice_rows(self.frame(kept, positions=True), start, length, POS, self.n_rows).orderBy(POS).drop(POS, STRIPE)
 
     def _check_stripe(self, k: int) -> None:
@@ -152,9 +156,13 @@ class Dataset:
 
     def stats(self) -> DataFrame | None:
         """The manifest, one row per stripe, or nothing for datasets without statistics."""
-        return self.spark.read.parquet(f"{self.path}/stats") if self.options.get("stats") else None
+        if self._manifest is None and self.options.get("stats"):
+            self._manifest = self.spark.read.parquet(f"{self.path}/stats")  # its files are listed once
+        return self._manifest
 
     def stripe_row_counts(self) -> list[int]:
+        if counts := self.options.get("counts"):  # stripes were appended
+            return list(counts)
         size = self.options.get("stripe_rows") or self.n_rows
         return [min(size, self.n_rows - k * size) for k in range(self.n_stripes)] if self.n_rows else [0]
 
@@ -213,6 +221,48 @@ class Dataset:
                 raise FormatError(f"{self.path}: stripe {first[STRIPE]}: {', '.join(first['bad'])} differ from the manifest")
         return {"columns": len(self.schema.columns), "rows": self.n_rows, "stripes": self.n_stripes}
 
+    # -- more stripes
+
+    def append(self, df: DataFrame, mark: Any = None) -> Dataset:
+        """Adds the rows of ``df`` as stripes after the last, as many rows each as the dataset's stripes have (one
+        stripe for datasets of one). Nothing that is written changes; readers see the new stripes when the head is
+        renamed into place, and files of an append that broke off belong to no stripe. ``mark`` is kept in the head."""
+        if df.columns != self.schema.names:
+            raise SchemaError(f"the dataset's columns {self.schema.names} aren't the frame's {df.columns}")
+        size, counts = self.options.get("stripe_rows"), self.stripe_row_counts() if self.n_rows else []
+        batch = f"{self.path}/_append"
+        placed = positioned(df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.fields)))
+        stripe = F.lit(len(counts)) + (F.floor(F.col(POS) / size) if size else F.lit(0))
+        rows = placed.withColumn(STRIPE, stripe.cast("long")).withColumn(POS, F.col(POS) + self.n_rows)
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy(STRIPE).parquet(batch)
+        files = Files(self.spark)
+        new = sorted(int(n.split("=")[1]) for n in files.names(batch) if n.startswith(f"{STRIPE}="))
+        for k in new:
+            files.delete(f"{self.path}/data/{STRIPE}={k}")
+            files.move(f"{batch}/{STRIPE}={k}", f"{self.path}/data/{STRIPE}={k}")
+        files.delete(batch)
+        options = dict(self.options) | ({"mark": mark} if mark is not None else {})
+        if not new:
+            return _finish(self.spark, self.path, self.schema, self.n_rows, self.n_stripes, options, None, self.schema_hash)
+        stored = self.spark.read.schema(self._stored).option("basePath", f"{self.path}/data")
+        added = stored.parquet(*(f"{self.path}/data/{STRIPE}={k}" for k in new))
+        more = {r[STRIPE]: r["n"] for r in added.groupBy(STRIPE).agg(F.count("*").alias("n")).collect()}  # one row per new stripe
+        if self.options.get("stats") or not self.n_rows:
+            table = S.stripe_bounds(added, self.fields, POS)
+            options["stats"] = True
+            if self.options.get("filters") or not self.n_rows:
+                table = S.with_filters(table, S.stripe_filters(added, self.fields), len(self.leaves))
+                options["filters"] = True
+            if self.n_rows:  # rows of stripes that a broken append left are replaced
+                old = self.stats().where(F.col(STRIPE) < len(counts))
+                table = old.unionByName(table)
+            files.delete(f"{self.path}/_stats")
+            table.sortWithinPartitions(STRIPE).write.parquet(f"{self.path}/_stats")
+            files.delete(f"{self.path}/stats")
+            files.move(f"{self.path}/_stats", f"{self.path}/stats")
+        options["counts"] = counts + [more[k] for k in new]
+        return _finish(self.spark, self.path, self.schema, self.n_rows + sum(more.values()), len(options["counts"]), options, None, self.schema_hash)
+
     # -- column slice
 
     def project_to(self, path: str, columns: list[str]) -> Dataset:
@@ -268,11 +318,13 @@ def write(df: DataFrame, path: str, stripe_rows: int | None = None, schema: Sche
     return _finish(spark, path, schema, n_rows, n_stripes, options, catalog)
 
 
-def _finish(spark: SparkSession, path: str, schema: Schema, n_rows: int, n_stripes: int, options: dict, catalog: Catalog | None) -> Dataset:
+def _finish(spark: SparkSession, path: str, schema: Schema, n_rows: int, n_stripes: int, options: dict, catalog: Catalog | None, schema_hash: str | None = None) -> Dataset:
     head: dict[str, Any] = {"version": VERSION, "n_rows": n_rows, "n_stripes": n_stripes, "options": options}
-    if catalog is None:
+    if schema_hash is not None:
+        head["schema_hash"] = schema_hash
+    elif catalog is None:
         head["schema"] = schema.to_json()
     else:
         head["schema_hash"] = catalog.add(schema)
     Files(spark).write(f"{path}/_dataset.json", json.dumps(head).encode())
-    return Dataset(spark, path, schema, n_rows, n_stripes, options)
+    return Dataset(spark, path, schema, n_rows, n_stripes, options, schema_hash=head.get("schema_hash"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.dataset import Dataset
 from quern.plans import catalyst as C
@@ -54,9 +57,8 @@ def answer(plan: Any, datasets: dict[str, Dataset]) -> DataFrame | None:
             side = "lo" if f == "min" else "hi"
             exact.append(F.bool_and(s[f"{side}_exact"]))
             out.append((F.min if f == "min" else F.max)(s[side]).alias(name))
-    table = dataset.stats()
-    if len(exact) > 1:
-        row = table.agg(*(x.alias(f"e{i}") for i, x in enumerate(exact[1:]))).first()
-        if not all(row):
-            return None
-    return table.agg(*out)
+    found = dataset.stats().agg(*out, F.coalesce(reduce(and_, exact), F.lit(False)).alias("_exact"))
+    row = found.first()  # a job over the manifest, whose one row is the answer
+    if not row["_exact"]:
+        return None
+    return dataset.spark.createDataFrame([tuple(row)[:-1]], T.StructType(found.schema.fields[:-1]))

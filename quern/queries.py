@@ -23,7 +23,8 @@ SQL: dict[str, str] = {}
 #: Stripes of the example datasets.
 ROWS = {"orders": 1000, "lineitem": 5000, "events": 1000, "documents": 100, "customer": 500, "embeddings": 100}
 ORDER = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "events": ["event_id"], "documents": ["doc_id"], "customer": ["c_custkey"], "embeddings": ["vec_id"]}
-_MADE: dict[tuple[str, str, str], str] = {}
+_MADE: dict[tuple[str, str, str], Dataset] = {}
+_OPEN: dict[tuple, Session] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -53,10 +54,8 @@ def dataset(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
     """The table as a striped dataset in its key's order, written once for each application."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _MADE:
-        path = scratch(spark, name)
-        write(table(spark, sf_dir, name), path, stripe_rows=ROWS[name], order_by=ORDER[name])
-        _MADE[at] = path
-    return Dataset.open(spark, _MADE[at])
+        _MADE[at] = write(table(spark, sf_dir, name), scratch(spark, name), stripe_rows=ROWS[name], order_by=ORDER[name])
+    return _MADE[at]
 
 
 def session(spark: SparkSession, sf_dir: str, sql: str = "") -> Session:
@@ -69,10 +68,13 @@ def session(spark: SparkSession, sf_dir: str, sql: str = "") -> Session:
 
 
 def striped(spark: SparkSession, sf_dir: str, *names: str) -> Session:
-    s = Session(spark)
-    for n in names:
-        s.register(n, dataset(spark, sf_dir, n).path)
-    return s
+    """A session over the datasets, opened once for each application."""
+    at = (spark.sparkContext.applicationId, sf_dir, names)
+    if at not in _OPEN:
+        _OPEN[at] = s = Session(spark)
+        for n in names:
+            s.register(n, dataset(spark, sf_dir, n).path)
+    return _OPEN[at]
 
 
 # -- sources

@@ -28,6 +28,11 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def move(self, path: str, to: str) -> None:
+        fs, p = self._at(path)
+        if not fs.rename(p, self._at(to)[1]):
+            raise OSError(f"can't move {path} to {to}")
+
     def write(self, path: str, data: bytes) -> None:
         """Written under another name and renamed, so that readers see all or nothing."""
         fs, p = self._at(path)
