@@ -250,3 +250,21 @@ def test_python_surface(spark):
     back = api.read_arrays(spark, path)
     assert back["u8"].tolist() == [1, 255] and [int(x) for x in back["u64"]] == [0, 2**64 - 1] and back["s"] == ["a", "b"] and list(map(bytes, back["b"])) == [b"\x00", b""]
     assert api.decompress(api.compress(np.arange(9))).tolist() == list(range(9))
+
+
+def test_parquet_types_of_the_footer(spark):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = scratch(spark, "pq").removeprefix("file://") + ".parquet"
+    import os
+
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    fields = [pa.field("a", pa.uint8(), nullable=False), pa.field("b", pa.uint64()), pa.field("c", pa.timestamp("ns")), pa.field("d", pa.list_(pa.int32())), pa.field("e", pa.struct([("x", pa.string())])), pa.field("f", pa.float32())]
+    pq.write_table(pa.table([pa.array([1, 255], pa.uint8()), pa.array([0, 2**64 - 1], pa.uint64()), pa.array(np.array([1, 1_700_000_000_123_456_789], "datetime64[ns]")), [[1], None], [{"x": "q"}, None], pa.array([0.5, None], pa.float32())], schema=pa.schema(fields)), path)
+    schema = sources.infer(spark, path)
+    assert kinds(schema) == {"a": "u8", "b": "u64?", "c": "datetime?", "d": "[i32?]?", "e": "{x:utf8?}?", "f": "f32?"}
+    rows = sources.read(spark, path).collect()
+    assert rows[1].a == 255 and rows[1].b == 2**64 - 1 and rows[1].c == 1_700_000_000_123_456_789 and rows[0].e.x == "q"
+    assert convert(spark, path, scratch(spark, "made")) == 2
