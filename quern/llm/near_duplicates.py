@@ -62,7 +62,7 @@ def labelled_kmers(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
         first = np.maximum.accumulate(np.where(run, np.arange(n), 0))
         label = np.empty(n, np.uint64)
         label[order] = (np.arange(n) - first).astype(np.uint64)
-        x = _mixed(x + label * _MIX)
+        x = np.where(label > 0, _mixed(x + label * _MIX), x)  # a first occurrence keeps its hash
     return x
 
 

@@ -50,6 +50,8 @@ def test_sketches_follow_order():
 def test_occurrences_are_told_apart():
     x = N.labelled_kmers(np.array([7] * 12, np.uint64))
     assert len(set(x.tolist())) == len(x) == 8
+    once, twice = np.arange(50, dtype=np.uint64), np.concatenate((np.arange(50, dtype=np.uint64), np.arange(9, dtype=np.uint64)))
+    assert set(N.labelled_kmers(once).tolist()) <= set(N.labelled_kmers(twice).tolist())  # a repeat changes no other k-mer
 
 
 def union_find(pairs, nodes):
