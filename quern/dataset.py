@@ -30,6 +30,8 @@ from quern.storage import Files, written
 POS, STRIPE = "_row_pos", "stripe_id"
 VERSION = 1
 KNOWN_FLAGS = ("stats", "filters")
+#: A manifest of at most so many bytes is held by the driver, where Catalyst evaluates predicates without a job.
+LOCAL_BYTES = 8 << 20
 
 
 def _repeats(plan: Any) -> bool:
@@ -71,6 +73,8 @@ class Dataset:
     options: dict[str, Any] = field(default_factory=dict)
     schema_hash: str | None = None
     _manifest: DataFrame | None = field(default=None, repr=False)
+    #: Exact answers of the manifest found so far: (function, leaf) -> value. A dataset object is one snapshot.
+    answers: dict[tuple[str, str], Any] = field(default_factory=dict, repr=False)
 
     # -- opening
 
@@ -157,7 +161,10 @@ class Dataset:
     def stats(self) -> DataFrame | None:
         """The manifest, one row per stripe, or nothing for datasets without statistics."""
         if self._manifest is None and self.options.get("stats"):
-            self._manifest = self.spark.read.parquet(f"{self.path}/stats")  # its files are listed once
+            table = self.spark.read.parquet(f"{self.path}/stats")
+            if Files(self.spark).size(f"{self.path}/stats") <= LOCAL_BYTES:
+                table = self.spark.createDataFrame(table.toArrow(), table.schema)
+            self._manifest = table
         return self._manifest
 
     def stripe_row_counts(self) -> list[int]:

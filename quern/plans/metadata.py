@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -40,25 +38,32 @@ def answer(plan: Any, datasets: dict[str, Dataset]) -> DataFrame | None:
     calls = [_function(e) for e in C.seq(plan.aggregateExpressions())]
     if dataset is None or dataset.stats() is None or not calls or None in calls:
         return None
-    places = {p: i for i, (p, _) in enumerate(dataset.leaves)}
-    out: list[Column] = []
-    exact: list[Column] = [F.lit(True)]
+    places = {p: (i, t) for i, (p, t) in enumerate(dataset.leaves)}
+    keys: list[tuple[str, str]] = []
+    fields: list[T.StructField] = []
     for f, e, name in calls:
-        if f == "count" and C.kind(e) == "Literal" and e.value() is not None:
-            out.append(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("long").alias(name))
-            continue
-        path = C.attribute(e)
-        if path not in places:
+        whole = f == "count" and C.kind(e) == "Literal" and e.value() is not None
+        path = "" if whole else C.attribute(e)
+        if not whole and path not in places:
             return None
-        s = F.col(f"s{places[path]}")
-        if f == "count":
-            out.append(F.coalesce(F.sum(s["n"] - s["nulls"]), F.lit(0)).cast("long").alias(name))
-        else:
-            side = "lo" if f == "min" else "hi"
-            exact.append(F.bool_and(s[f"{side}_exact"]))
-            out.append((F.min if f == "min" else F.max)(s[side]).alias(name))
-    found = dataset.stats().agg(*out, F.coalesce(reduce(and_, exact), F.lit(False)).alias("_exact"))
-    row = found.first()  # a job over the manifest, whose one row is the answer
-    if not row["_exact"]:
+        keys.append((f, path))
+        fields.append(T.StructField(name, T.LongType() if f == "count" else places[path][1], f != "count"))
+    known = dataset.answers
+    known["count", ""] = dataset.n_rows
+    if missing := sorted(set(keys) - set(known)):
+        values: list[Column] = []
+        exact: list[Column] = []
+        for i, (f, path) in enumerate(missing):
+            s = F.col(f"s{places[path][0]}")
+            if f == "count":
+                values.append(F.coalesce(F.sum(s["n"] - s["nulls"]), F.lit(0)).cast("long").alias(f"v{i}"))
+                exact.append(F.lit(True).alias(f"e{i}"))
+            else:
+                side = "lo" if f == "min" else "hi"
+                values.append((F.min if f == "min" else F.max)(s[side]).alias(f"v{i}"))
+                exact.append(F.coalesce(F.bool_and(s[f"{side}_exact"]), F.lit(False)).alias(f"e{i}"))
+        row = dataset.stats().agg(*values, *exact).first()  # a job over the manifest; its one row is the answer
+        known |= {k: row[f"v{i}"] for i, k in enumerate(missing) if row[f"e{i}"]}
+    if set(keys) - set(known):
         return None
-    return dataset.spark.createDataFrame([tuple(row)[:-1]], T.StructType(found.schema.fields[:-1]))
+    return dataset.spark.createDataFrame([tuple(known[k] for k in keys)], T.StructType(fields))
