@@ -11,8 +11,8 @@ from quern.llm.common import written
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    texts, labels = toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.without_toxic(docs, toxicity.train(texts, labels))
+    model = toxicity.train(*toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.without_toxic(docs, model)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

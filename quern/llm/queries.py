@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import decontamination, licenses, near_duplicates, packing, quality, secrets, sharding, toxicity, training_order, warc
 from quern.llm.common import documents
@@ -50,8 +49,8 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    texts, labels = toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, toxicity.train(texts, labels))
+    model = toxicity.train(*toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.scored(docs, model)
 
 
 #: Base32 of a SHA-1 from its hex digits: each ten of them are 40 bits, eight letters of five bits.

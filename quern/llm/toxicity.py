@@ -13,17 +13,18 @@ once, where it lies.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import columns_for
+from quern.llm.common import columns_for, rows_mapped
 from quern.llm.text import words
 
-SAMPLE, BUCKETS, DIMENSIONS, WINDOW, EPOCHS = 8192, 1 << 16, 8, 12, 120
+SAMPLE, BUCKETS, DIMENSIONS, WINDOW, EPOCHS = 8192, 1 << 18, 8, 12, 120
 GRAMS = (3, 4, 5)
 
 
@@ -59,53 +60,106 @@ class Model:
 
     def word(self, w: bytes) -> float:
         if (v := self._words.get(w)) is None:
-            if len(self._words) >= 400_000:
+            if len(self._words) >= 150_000:
                 self._words.clear()
             v = self._words[w] = float(self.weights[grams(w, len(self.weights))].mean())
         return v
 
     def score(self, text: str | None) -> float:
         """Probability of label 1; a text without words has that of the bias alone."""
+        return float(1 / (1 + np.exp(-np.clip(self.log_odds(text), -40, 40))))
+
+    def log_odds(self, text: str | None) -> float:
         ws = words(text)
         z = self.bias
         if ws:
             get = self._words.get
             values = np.fromiter((v if (v := get(w)) is not None else self.word(w) for w in ws), np.float64, len(ws))
-            z += window_means(values, self.window).max()
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, dimensions: int = DIMENSIONS, window: int = WINDOW, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Joint full-batch training of n-gram vectors and softmax by Adam. Without both labels: their base rate."""
-    y = np.asarray(labels, np.float32)
+            z += float(window_means(values, self.window).max())
+        return z
+
+
+class Bags:
+    """Documents as word numbers, one after another, and the words' n-gram buckets."""
+
+    def __init__(self, texts: Iterable, buckets: int) -> None:
+        vocabulary: dict[bytes, int] = {}
+        tokens, ends, folds = array("i"), [0], []
+        for t in texts:
+            t = t.as_py() if isinstance(t, pa.Scalar) else t
+            tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)])
+            ends.append(len(tokens))
+            folds.append(zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 5)  # copies stay together
+        flat, sizes = array("i"), array("i")
+        for w in vocabulary:
+            found = grams(w, buckets)
+            flat.extend(found)
+            sizes.append(len(found))
+        self.tokens, self.ends, self.folds = np.frombuffer(tokens, np.int32) if tokens else np.zeros(0, np.int32), np.array(ends), np.array(folds)
+        self.flat, self.sizes = (np.frombuffer(x, np.int32) if x else np.zeros(1, np.int32) + i for i, x in enumerate((flat, sizes)))
+        self.heads, self.buckets = np.cumsum(self.sizes) - self.sizes, buckets
+
+    def places(self, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of runs, one after another."""
+        return np.repeat(heads - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+    def spread(self, docs: np.ndarray) -> np.ndarray:
+        """Number of the documents that hold each bucket."""
+        out = np.zeros(self.buckets, np.int32)
+        for d in docs:
+            u = np.unique(self.tokens[self.ends[d] : self.ends[d + 1]])
+            if len(u):
+                out[np.unique(self.flat[self.places(self.heads[u], self.sizes[u])])] += 1
+        return out
+
+    def stretches(self, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and end of every stretch, and its document's place in ``docs``."""
+        lo, hi, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for i, d in enumerate(docs):
+            n = self.ends[d + 1] - self.ends[d]
+            at = window_starts(n, window)
+            lo.append(at + self.ends[d])
+            hi.append(np.minimum(at + window, n) + self.ends[d])
+            of.append(np.full(len(at), i, np.int32))
+        return np.concatenate(lo), np.concatenate(hi), np.concatenate(of)
+
+    def means(self, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Mean weight of each stretch's words; a word's is the mean of its n-grams'."""
+        word, out = np.empty(len(self.sizes), np.float32), np.empty(len(lo))
+        for at in range(0, len(word), 1 << 16):  # in parts, to bound memory
+            heads = self.heads[at : at + (1 << 16)]
+            end = heads[-1] + self.sizes[at + len(heads) - 1]
+            word[at : at + len(heads)] = np.add.reduceat(weights[self.flat[heads[0] : end]], heads - heads[0]) / self.sizes[at : at + len(heads)]
+        for at in range(0, len(lo), 1 << 16):
+            a, b = lo[at : at + (1 << 16)], hi[at : at + (1 << 16)]
+            total = np.concatenate(([0.0], np.cumsum(word[self.tokens[a[0] : b[-1]]], dtype=np.float64)))
+            out[at : at + len(a)] = (total[b - a[0]] - total[a - a[0]]) / (b - a)
+        return out
+
+
+def fit(bags: Bags, docs: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, window: int = WINDOW, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 3e-5, least_documents: int = 8, seed: int = 7) -> Model:
+    """Joint full-batch training of n-gram vectors and softmax by Adam. Without both labels: their base rate.
+
+    ``decay`` and ``least_documents`` keep the vectors of what few documents hold from learning those by heart.
+    """
+    buckets, y = bags.buckets, labels.astype(np.float32)
     base = (y.sum() + 0.5) / (len(y) + 1)
     bias0 = float(np.log(base / (1 - base)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), bias0, window)
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), np.int32) for t in texts]
-    held = [np.asarray(grams(w, buckets), np.int32) for w in vocabulary] or [np.zeros(1, np.int32)]
-    sizes = np.array([len(g) for g in held])
-    heads, flat = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.concatenate(held)
-    del held, vocabulary
-    stretch = [np.stack((lo := window_starts(len(x), window), np.minimum(lo + window, len(x)))) for x in ids]
-    offset = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-    tokens = np.concatenate(ids) if offset[-1] else np.zeros(0, np.int32)
-    lo = np.concatenate([s[0] + o for s, o in zip(stretch, offset, strict=False)]).astype(np.int64)
-    hi = np.concatenate([s[1] + o for s, o in zip(stretch, offset, strict=False)]).astype(np.int64)
-    of = np.repeat(np.arange(len(ids)), [s.shape[1] for s in stretch])
+    lo, hi, of = bags.stretches(docs, window)
     first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    # N-grams of few documents stay at zero.
+    common = (bags.spread(docs) >= least_documents).astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (buckets, dimensions)).astype(np.float32)
+    vectors = rng.normal(0, 0.1, (buckets, dimensions)).astype(np.float32) * common
     softmax = rng.normal(0, 0.1, (dimensions, 2)).astype(np.float32)
     bias = np.array([0, bias0], np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, softmax, bias)]
     for step in range(1, epochs + 1):
         delta = softmax[:, 1] - softmax[:, 0]
-        scalar = np.add.reduceat((vectors @ delta)[flat], heads) / sizes
-        total = np.concatenate(([0.0], np.cumsum(scalar[tokens], dtype=np.float64)))
-        mean = (total[hi] - total[lo]) / (hi - lo)
-        z = np.zeros(len(ids))
+        mean = bags.means(vectors @ delta, lo, hi)
+        z = np.zeros(len(docs))
         best = np.zeros(0, np.int64)
         if len(first):
             top = np.maximum.reduceat(mean, first)
@@ -116,11 +170,12 @@ def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, di
         g = (p - y) / len(y)
         # Through each document's chosen stretch into its words, their n-grams, and the softmax.
         per = (hi - lo)[best]
-        at = np.repeat(lo[best] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
-        on_word = np.bincount(tokens[at], np.repeat(g[of[best]] / per, per), len(sizes)) / sizes
-        on_bucket = np.bincount(flat, np.repeat(on_word, sizes), buckets).astype(np.float32)
+        seen = bags.tokens[bags.places(lo[best], per)]
+        some, which = np.unique(seen, return_inverse=True)
+        on_word = np.bincount(which, np.repeat(g[of[best]] / per, per), len(some)) / bags.sizes[some]
+        on_bucket = np.bincount(bags.flat[bags.places(bags.heads[some], bags.sizes[some])], np.repeat(on_word, bags.sizes[some]), buckets).astype(np.float32)
         up = vectors.T @ on_bucket
-        grads = (on_bucket[:, None] * delta[None, :] + decay * vectors, np.stack((-up, up), 1) + decay * softmax, np.array([-g.sum(), g.sum()], np.float32))
+        grads = ((on_bucket[:, None] * delta[None, :] + decay * vectors) * common, np.stack((-up, up), 1) + decay * softmax, np.array([-g.sum(), g.sum()], np.float32))
         for q, d, (m, v) in zip((vectors, softmax, bias), grads, state, strict=True):
             m += 0.1 * (d - m)
             v += 0.001 * (d * d - v)
@@ -129,19 +184,49 @@ def train(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, di
     return Model(vectors @ delta, bias[1] - bias[0], window)
 
 
+def calibrated(model: Model, bags: Bags, docs: np.ndarray, labels: np.ndarray) -> Model:
+    """The model with its log odds scaled and shifted to fit documents it hasn't seen (logistic regression on them,
+    drawn to no change by two pseudo-documents)."""
+    y = labels.astype(np.float64)
+    if not len(y) or y.min() == y.max():
+        return model
+    lo, hi, of = bags.stretches(docs, model.window)
+    z = np.full(len(docs), -np.inf)
+    np.maximum.at(z, of, bags.means(model.weights, lo, hi))
+    x = np.stack((np.where(np.isinf(z), 0, z) + model.bias, np.ones(len(z))), 1)
+    theta, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
+        grad = x.T @ (p - y) + 2 * (theta - prior)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 2 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        theta = theta - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    a, b = max(theta[0], 1e-3), theta[1]
+    return Model(model.weights * np.float32(a), model.bias * a + b, model.window)
+
+
+def train(texts: Iterable, labels: list[int], buckets: int = BUCKETS, **options) -> Model:
+    """Fits on four fifths of the documents and calibrates on the others. Texts are read once and not kept."""
+    bags, y = Bags(texts, buckets), np.array(labels, np.int64)
+    learn, rest = np.flatnonzero(bags.folds != 0), np.flatnonzero(bags.folds == 0)
+    return calibrated(fit(bags, learn, y[learn], **options), bags, rest, y[rest])
+
+
 def is_held_out(key: str = "doc_id") -> F.Column:
     """Rows whose labels are never learnt: crc32 of the id's text leaves 2 by 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str | None], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[pa.ChunkedArray, list[int]]:
     """At most ``sample`` labelled rows outside the held-out fold, by the smallest hash of their id, with whole texts."""
     chosen = columns_for(labels, k=key, y=label).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~is_held_out("k")).dropDuplicates(["k"])
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample)
     ids = {r.k: r.y for r in chosen.collect()}  # at most `sample` rows
     few = docs.sparkSession.createDataFrame(list(ids.items()) or [], "k long, y int")
     rows = columns_for(docs, k=key, t=text).join(F.broadcast(few), "k").select("k", "t", "y").orderBy("k", "t").limit(2 * sample).toArrow()
-    return rows.column("t").to_pylist(), rows.column("y").to_pylist()
+    return rows.column("t"), rows.column("y").to_pylist()
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,4 +249,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text: s
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_mapped(docs, run)
