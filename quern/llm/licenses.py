@@ -64,10 +64,6 @@ def _vocabulary() -> list[str]:
     return sorted({w for phrase in BASE for w in phrase.split()} | {w for _, notice, key in TEMPLATES for w in _WORD.findall(notice) if w not in common or w in key.split()})
 
 
-def _any_of(words: list[str], value: Column) -> Column:
-    return value.isin(words)
-
-
 def words_of(text: Column) -> Column:
     """Lower-cased words: runs of letters and digits of ASCII and of any other characters."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
@@ -86,12 +82,19 @@ def _places(hits: Column, phrase: str) -> Column:
     return F.transform(F.filter(at, here), lambda j: hits[j]["i"])
 
 
+def _key_places(notice: str, phrase: str) -> list[tuple[int, str]]:
+    """The words of a template's key phrase with their places in its notice."""
+    whole, part = _WORD.findall(notice), phrase.split()
+    first = next(i for i in range(len(whole)) if whole[i : i + len(part)] == part)
+    return [(first + i, w) for i, w in enumerate(part)]
+
+
 def licence_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, row number, word count, and the licence words of each text with their places; written once."""
     vocabulary = _vocabulary()
 
     def of(ws: Column) -> Column:
-        found = F.filter(F.transform(ws, lambda w, i: F.when(_any_of(vocabulary, w), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
+        found = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
         return F.struct(F.size(ws).cast("long").alias("n_words"), found.alias("hits"))
 
     rows = columns_for(docs, k=key, t=text).select(F.col("k").alias("doc_id"), F.transform(F.array(words_of(F.col("t"))), of)[0].alias("x"))
@@ -125,10 +128,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     votes = looked.select("row_no", "h.i", "h.w").join(F.broadcast(index), "w").select("row_no", "t", (F.col("i") - F.col("p")).alias("at"), "v")
     totals = F.array(*map(F.lit, total))
     agreed = votes.groupBy("row_no", "t", "at").agg(F.sum("v").alias("v")).withColumn("cover", F.least(F.col("v") / totals[F.col("t")], F.lit(1.0))).where(F.col("cover") >= LEAST_COVER)
-    # The key phrase of each template with its place in the notice.
-    offsets = [_WORD.findall(notice) for _, notice, _ in TEMPLATES]
-    keys = [[(offsets[t].index(k.split()[0]) if len(k.split()) == 1 else next(i for i in range(len(offsets[t])) if offsets[t][i : i + len(k.split())] == k.split())) + j for j in range(len(k.split()))] for t, (_, _, k) in enumerate(TEMPLATES)]
-    needed = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in zip(keys[t], k.split(), strict=True))) for t, (_, _, k) in enumerate(TEMPLATES)))
+    needed = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in _key_places(notice, phrase))) for _, notice, phrase in TEMPLATES))
     names = F.array(*(F.lit(label) for label, _, _ in TEMPLATES))
     checked = agreed.join(some.select("row_no", "hits"), "row_no").where(F.forall(needed[F.col("t")], lambda q: F.exists("hits", lambda h: (h["i"] == F.col("at") + q["p"]) & (h["w"] == q["w"]))))
     held = checked.groupBy("row_no").agg(F.collect_set(names[F.col("t")]).alias("own"), F.max("cover").alias("cover"))  # at most as many as templates
