@@ -37,7 +37,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         v = self[w] = xxhash.xxh64_intdigest(w)
         return v
@@ -164,7 +164,9 @@ def components(links: DataFrame, tag: str = "stars") -> DataFrame:
         discard(edges)
         edges = new
         if tuple(now) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._quern_path = edges._quern_path
+            return out
         mark = tuple(now)
 
 
@@ -195,10 +197,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIO
     found = roots.join(degree, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), "n_links")
     placed = written(members.join(found, "node", "left").select("row_no", "doc_id", "d1", "d2", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
-    discard(members, nodes)
+    sizes = written(sizes, "sizes")  # apart from the join below, whose large classes AQE can then split
+    discard(table, members, nodes, tried, more, roots)
     return placed.join(sizes, "root").select("doc_id", "class_id", "class_size", "n_links", "row_no", "d1", "d2", (F.col("row_no") == F.col("first.row_no")).alias("stays"))
 
 
+def _number(column: str, at: int) -> F.Column:
+    """The signed number of eight bytes in hex from ``at``, least byte first, as ``signed`` reads digests."""
+    return F.conv(F.concat(*[F.substring(column, at + 14 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")
+
+
 def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with one of each class kept, the one of the least key; all columns stay.
 
@@ -214,8 +222,7 @@ def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000, key: str = "do
     names, docs = docs.columns, plain_names(docs)
     key, text = (f"c{names.index(c)}" for c in (key, text))
     hexed = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    half = lambda at: F.conv(F.concat(*[F.substring("_hex", at + 14 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long")
-    marked = docs.withColumn("_hex", hexed).withColumns({"_a": half(1), "_b": half(17)}).drop("_hex")
+    marked = docs.withColumn("_hex", hexed).withColumns({"_a": _number("_hex", 1), "_b": _number("_hex", 17)}).drop("_hex")
     on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_a") == F.col("_d1")) & (F.col("_b") == F.col("_d2"))
     clean = marked.join(lists, on, "left_anti").select(docs.columns)
     repeated = going.where("_stays")
