@@ -180,7 +180,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIO
     class_id. An empty table gives no rows; other columns are not looked at.
     """
     table = written(signed(columns_for(docs, k=key, t=text), functions), "signed")
-    own = table.groupBy("d1", "d2").agg(F.min("row_no").alias("node"))
+    own = written(table.groupBy("d1", "d2").agg(F.min("row_no").alias("node")), "own")  # apart from the join, as "sizes" below
     members = written(table.select("row_no", "doc_id", "d1", "d2").join(own, ["d1", "d2"]), "members")
     kept = own.select(F.col("node").alias("row_no"))
     nodes = written(table.select("row_no", "sketch").join(kept, "row_no"), "nodes")
@@ -198,7 +198,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIO
     placed = written(members.join(found, "node", "left").select("row_no", "doc_id", "d1", "d2", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
     sizes = written(sizes, "sizes")  # apart from the join below, whose large classes AQE can then split
-    discard(table, members, nodes, tried, more, roots)
+    discard(table, own, members, nodes, tried, more, roots)
     return placed.join(sizes, "root").select("doc_id", "class_id", "class_size", "n_links", "row_no", "d1", "d2", (F.col("row_no") == F.col("first.row_no")).alias("stays"))
 
 
