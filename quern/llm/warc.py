@@ -5,8 +5,8 @@ it looks for the next gzip member or version line that begins a valid record, go
 bytes between as a quarantined gap. Nothing that can be read is lost to a bad record before it.
 
 Records are written by Spark's text writer with the records' end marks as line separator, so that any Hadoop file
-system and the commit protocol for lost executors are served. The writer starts a new file every ``per_file``
-records. The reader takes one archive at a time into memory.
+system and the commit protocol for lost executors are served. The writer starts a new file after as many
+records of mean size as make ``file_bytes``. The reader takes one archive at a time into memory.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import columns_for, new_path
+from quern.llm.common import columns_for, new_path, written
 
 END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
@@ -170,18 +170,21 @@ def _members(view: memoryview) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", gap, len(view), reason
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = 1000, key: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 64 << 20, broadcast_rows: int = 500_000, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes a record per page. Of equal payloads of at least ``least_bytes`` bytes the page of least id is the
     response and the others revisit it; rows that repeat that id with the same payload are responses too.
 
     A null text is an empty payload, null urls are left out, null ids are written as such: they revisit the least
     id of their payload, or are responses where there is none. An empty table writes no record; other columns are
-    not looked at.
+    not looked at. Payloads that occur again are joined by a broadcast up to ``broadcast_rows`` of them, beyond that by
+    a shuffle.
     """
     raw = F.coalesce(F.encode(F.col("t"), "UTF-8"), F.lit(b""))
     rows = columns_for(pages, k=key, u=url, t=html).select("k", "u", raw.alias("t")).withColumn("d", F.sha1("t"))
     first = rows.where(F.octet_length("t") >= least_bytes).groupBy("d").agg(F.min("k").alias("f"), F.count("*").alias("n")).where("n > 1 and f is not null").select("d", "f")
-    joined = rows.join(first, "d", "left").select("k", "u", "t", F.when(~F.col("k").eqNullSafe(F.col("f")), F.col("f")).alias("f"))
+    first = written(first, "first")
+    few = first.count() <= broadcast_rows  # of some 50 bytes; payloads then stay where they are
+    joined = rows.join(F.broadcast(first) if few else first, "d", "left").select("k", "u", "t", F.when(~F.col("k").eqNullSafe(F.col("f")), F.col("f")).alias("f"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +194,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = 100
                 yield pa.RecordBatch.from_arrays([pa.array([record(k, u, t.as_py(), f, f is not None) for k, u, t, f in zip(keys[at : at + 500], urls[at : at + 500], body, firsts[at : at + 500], strict=True)], pa.binary())], names=["record"])
 
     out = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    size = rows.agg(F.avg(F.octet_length("t") + 700)).first()[0] or 1  # a record's head has some 700 bytes
+    out.write.option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, int(file_bytes / size))).text(path)
 
 
 FOUND = "file string, start long, end long, gap string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"

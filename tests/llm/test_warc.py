@@ -112,6 +112,7 @@ def test_round_trip_and_revisits(spark):
         response = f is None or key == f
         wanted.append((key, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if response else "revisit", None if response else f))
     assert sorted(wanted, key=str) == sorted(map(tuple, rows), key=str)
+    assert sorted(wanted, key=str) == sorted(map(tuple, W.round_trip(df, broadcast_rows=0).collect()), key=str)
     least = W.round_trip(df, least_bytes=1).collect()
     assert sorted(r.record_type for r in least if r.payload_bytes == 0) == ["response", "response"]
     assert W.round_trip(df.limit(0)).count() == 0
