@@ -10,8 +10,10 @@ Work stays in proportion to the input whatever the groups' sizes:
    digest; one of each stands for them.
 2. Each band's bucket is aggregated to its least member, the pivot, and every other member is paired with that
    alone: a bucket of n gives n - 1 pairs, never n * n. Pairs of all bands are made distinct before texts join.
-3. A pair whose edit similarity over words reaches the threshold is a link. Members that failed against a pivot go
-   through a second search by pairs of bands, where texts that only share a passage fall apart.
+3. A pair whose edit similarity over words reaches the threshold is a link. Buckets whose members then belong to
+   more than one class are searched whole: members of different classes within reach in length meet in memory by
+   their bags of words, counted in 256 bins. An edit moves a bag by two at most, so no pair that links is dropped,
+   and only pairs that pass become rows and are verified.
 4. Links are contracted to classes by alternating large-star and small-star steps, each written to the shared
    folder. Sums and minima are combined before each shuffle and joins on hot rows are left to AQE to split.
 """
@@ -32,6 +34,7 @@ from quern.llm.common import columns_for, discard, plain_names, written
 from quern.llm.text import banded_distance, words
 
 SHINGLE, FUNCTIONS, MINIMA, SIMILARITY = 5, 40, 2, 0.8
+BINS = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,7 +104,26 @@ def _common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(np.bincount(inverse[: len(a)], minlength=len(u)), np.bincount(inverse[len(a) :], minlength=len(u))).sum())
 
 
-SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, words binary"
+def bag(hashes: np.ndarray) -> bytes:
+    """Counts of words per bin, cut at 255, which brings bags nearer and never apart."""
+    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def within_reach(roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of different classes whose lengths and bags allow a similarity of ``least``;
+    ``sizes`` ascend."""
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for j in range(1, len(sizes)):
+        lo = int(np.searchsorted(sizes, least * sizes[j] - 1e-9))
+        i = lo + np.flatnonzero(roots[lo:j] != roots[j])
+        if len(i):
+            i = i[np.abs(bags[i] - bags[j]).sum(1) <= 2 * int((1 - least) * sizes[j] + 1e-9)]
+            first.append(i)
+            second.append(np.full(len(i), j))
+    return np.concatenate(first), np.concatenate(second)
+
+
+SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, bag binary, words binary"
 
 
 def signed(docs: DataFrame, functions: int) -> DataFrame:
@@ -116,19 +138,61 @@ def signed(docs: DataFrame, functions: int) -> DataFrame:
                 digest = np.frombuffer(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), "<i8")
                 ws = words(text)
                 h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-                rows.append((at, key, digest[0], digest[1], sketches(h, functions) if ws else [], h.astype("<u4").tobytes()))
+                rows.append((at, key, digest[0], digest[1], sketches(h, functions) if ws else [], bag(h), h.astype("<u4").tobytes()))
                 at += 1
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SIGNED.split(", ")])
 
     return docs.mapInArrow(run, SIGNED)
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The members of buckets of two and more, with the bucket's least member."""
+    pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return entries.join(pivots, "bucket").select("bucket", "pivot", "node")
+
+
+def _linear(shared: DataFrame) -> DataFrame:
+    return shared.where("node > pivot").select("pivot", "node").distinct()
+
+
 def _pairs(entries: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's least member."""
-    pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return entries.join(pivots, "bucket").where("node > pivot").select("pivot", "node").distinct()
+    return _linear(_shared(entries))
+
+
+def _across(shared: DataFrame, roots: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """The pairs in a bucket that lie in different classes and are within reach of ``least``; all of them."""
+
+    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        buckets, nodes, roots, sizes, bags = columns
+        heads = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(heads, np.r_[heads[1:], len(buckets)], strict=True):
+            i, j = within_reach(roots[lo:hi], sizes[lo:hi], bags[lo:hi].astype(np.int16), least)
+            a.append(nodes[lo:hi][i])
+            b.append(nodes[lo:hi][j])
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["pivot", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BINS))
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            whole = int(np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])[-1]) if len(held[0]) else 0  # the last bucket may go on
+            if whole:
+                yield pairs([x[:whole] for x in held])
+                held = [x[whole:].copy() for x in held]
+        if held:
+            yield pairs(held)
+
+    rooted = shared.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    rows = rooted.join(mixed, "bucket").join(bags, "node").select("bucket", "node", "root", "size", "bag")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "size").mapInArrow(run, "pivot long, node long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -183,22 +247,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIO
     own = written(table.groupBy("d1", "d2").agg(F.min("row_no").alias("node")), "own")  # apart from the join, as "sizes" below
     members = written(table.select("row_no", "doc_id", "d1", "d2").join(own, ["d1", "d2"]), "members")
     kept = own.select(F.col("node").alias("row_no"))
-    nodes = written(table.select("row_no", "sketch").join(kept, "row_no"), "nodes")
+    nodes = written(table.select("row_no", "sketch", "bag", (F.octet_length("words") / 4).cast("int").alias("size")).join(kept, "row_no"), "nodes")
     texts = table.select("row_no", "words")
     entries = nodes.select(F.col("row_no").alias("node"), F.explode("sketch").alias("bucket"))
-    tried = written(_verified(_pairs(entries), texts, least), "tried")
-    apart = tried.where("similarity = 0").select("node").unionByName(tried.where("similarity = 0").select(F.col("pivot").alias("node"))).distinct()
-    again = nodes.withColumnRenamed("row_no", "node").join(apart, "node")
-    finer = again.select("node", F.explode(F.expr(f"transform(sequence(0, {functions - 1}), i -> xxhash64(sketch[i], sketch[(i + 1) % {functions}]))")).alias("bucket"))
-    more = written(_verified(_pairs(finer).join(tried, ["pivot", "node"], "left_anti"), texts, least), "tried")
-    links = tried.unionByName(more).where("similarity > 0").select("pivot", "node")
+    shared = written(_shared(entries), "shared")
+    tried = written(_verified(_linear(shared), texts, least), "tried")
+    links = tried.where("similarity > 0").select("pivot", "node")
+    known = components(links)
+    bags = nodes.select(F.col("row_no").alias("node"), "size", "bag")
+    more = written(_verified(_across(shared, known, bags, least).join(tried, ["pivot", "node"], "left_anti"), texts, least), "tried")
+    links = links.unionByName(more.where("similarity > 0").select("pivot", "node"))
     roots = components(links)
     degree = links.unionByName(links.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     found = roots.join(degree, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), "n_links")
     placed = written(members.join(found, "node", "left").select("row_no", "doc_id", "d1", "d2", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
     sizes = written(sizes, "sizes")  # apart from the join below, whose large classes AQE can then split
-    discard(table, own, members, nodes, tried, more, roots)
+    discard(table, own, members, nodes, shared, tried, known, more, roots)
     return placed.join(sizes, "root").select("doc_id", "class_id", "class_size", "n_links", "row_no", "d1", "d2", (F.col("row_no") == F.col("first.row_no")).alias("stays"))
 
 

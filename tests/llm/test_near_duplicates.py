@@ -148,3 +148,43 @@ def test_large_group_stays_small(spark):
     pairs = N._pairs(table.select(F.col("row_no").alias("node"), F.explode("sketch").alias("bucket")))
     assert pairs.count() < 400 * 4
     assert {r.class_id for r in N.classes(df).collect()} == {0}
+
+
+def _edited(words, share, rng, tag):
+    out = list(words)
+    for n, at in enumerate(rng.sample(range(len(out)), round(share * len(out)))):
+        out[at] = f"{tag}n{n}"
+    return out
+
+
+def test_hub_of_many_copies(spark):
+    """Copies are near their hub alone, which is the least row of no bucket."""
+    rng = random.Random(8)
+    hub = [f"h{i}" for i in range(200)]
+    docs = [(i, " ".join(_edited(hub, 0.12, rng, f"c{i}"))) for i in range(300)] + [(300, " ".join(hub))]
+    passage = [f"p{i}" for i in range(80)]  # a hot passage in texts that are near nothing, and in a hub and its copies
+    own = [f"o{i}" for i in range(120)]
+    docs += [(400 + i, " ".join(passage + [f"u{i}x{k}" for k in range(120)])) for i in range(150)]
+    docs += [(600 + i, " ".join(passage + _edited(own, 0.2, rng, f"d{i}"))) for i in range(60)] + [(700, " ".join(passage + own))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    table = N.signed(df.selectExpr("doc_id k", "text t"), N.FUNCTIONS).select("doc_id", "sketch").collect()
+    buckets = {r.doc_id: set(r.sketch) for r in table}
+    split = {i: t.split() for i, t in docs}
+    reachable = [(i, j) for i in split for j in split if i < j and buckets[i] & buckets[j] and N.similarity(split[i], split[j])]
+    wanted = union_find(reachable, split)
+    assert len({wanted[i] for i in range(301)}) < 8 and len({wanted[i] for i in range(400, 550)}) == 150
+    assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == wanted
+
+
+def test_reach_drops_no_pair():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = [rng.randrange(60) for _ in range(rng.randint(5, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], [rng.randrange(60)], [b[at], rng.randrange(60)]])
+        a, b = sorted((a, b), key=len)
+        bags = np.stack([np.frombuffer(N.bag(np.array(x, np.uint64)), np.uint8) for x in (a, b)]).astype(np.int16)
+        found = len(N.within_reach(np.array([0, 1]), np.array([len(a), len(b)]), bags, 0.8)[0])
+        assert found or not N.similarity(a, b)
