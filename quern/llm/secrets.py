@@ -25,8 +25,8 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the same as longer runs of [0-9a-f]+
-_IDENTIFIER = re.compile(r"""\b(?:user(?:[_-]?name|[_-]?id)?|login|account(?:[_-]?(?:name|id))?|client[_-]?id|access[_-]?key(?:[_-]?id)?|key[_-]?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,200})""", re.A | re.I)
-_ENDPOINT = re.compile(r"(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?)://[^\s\"'<>]{1,2000}|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\w.]*\d)|(?<![\w.-])(?:[a-z0-9-]+\.){1,6}(?:com|net|org|io|dev|cloud|internal|local)(?::\d{2,5})?\b", re.A | re.I)
+_IDENTIFIER = re.compile(r"""(?:user(?:[_-]?name|[_-]?id)?|login|account(?:[_-]?(?:name|id))?|client[_-]?id|access[_-]?key(?:[_-]?id)?|key[_-]?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.A | re.I)  # also behind a prefix: DB_USER, dbUser, PGUSER
+_ENDPOINT = re.compile(r"(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?)://[^\s\"'<>]+|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\w.]*\d)|(?<![\w.-])(?:[a-z0-9-]+\.)+(?:com|net|org|io|dev|cloud|internal|local)(?::\d{2,5})?\b", re.A | re.I)
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -67,10 +67,9 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int) -> lis
     if not (strong or weak):
         return []
     breaks = [m.start() for m in _PARAGRAPH.finditer(text)]
-    parts = sorted((s, e, k) for k, s, e in names + hosts if not covers(s, e)) + [(s, e, "") for s, e in known]
-    parts.sort()
-    at = [s for s, _, _ in parts]
-    longest = max((e - s for s, e, _ in parts), default=0)
+    # Parts of a kind don't overlap, so that both their starts and their ends ascend.
+    apart = [(kind, [(s, e) for _, s, e in spans if not covers(s, e)]) for kind, spans in (("identifier", names), ("endpoint", hosts))] + [("", sorted(known))]
+    parts = [(kind, spans, [s for s, _ in spans], [e for _, e in spans]) for kind, spans in apart]
     found: set[tuple[str, int, int]] = set()
     for is_weak, spans in ((False, strong), (True, weak)):
         for s, e in spans:
@@ -78,12 +77,12 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int) -> lis
             lo = max(s - reach, breaks[i - 1] if i else 0)
             hi = min(e + reach, breaks[i] if i < len(breaks) else len(text))
             hit = False
-            for p in range(bisect_left(at, lo - longest), bisect_left(at, hi)):
-                ps, pe, kind = parts[p]
-                if pe > lo and not (ps < e and pe > s):
-                    hit = True
-                    if kind:
-                        found.add((kind, ps, pe))
+            for kind, places, starts, stops in parts:
+                for ps, pe in places[bisect_right(stops, lo) : bisect_left(starts, hi)]:
+                    if not (ps < e and pe > s):
+                        hit = True
+                        if kind:
+                            found.add((kind, ps, pe))
             if is_weak and hit:
                 found.add(("secret", s, e))
     return list(found)

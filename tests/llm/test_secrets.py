@@ -85,3 +85,19 @@ def test_redaction(spark, hard):
     df = spark.createDataFrame([(1, "a token=deadbeefdeadbeefdeadbeef b", 5), (2, None, None)], "doc_id long, text string, text_x int")
     assert [r.text for r in S.redacted(df).orderBy("doc_id").collect()] == ["a [SECRET] b", None]
     assert S.redacted(hard).schema == hard.schema and S.redacted(hard).count() == hard.count()
+
+
+def test_identifiers_behind_a_prefix():
+    secret = "Zm9vYmFyMTIzNDU2Nzg5MA12"
+    for name in ("DB_USER=svc_admin", "aws_access_key_id = ASIAXYZ", "oauth_client_id=abc123", "dbUser: svc", "PGUSER=postgres", "db-user-name: svc", "AWSAccessKeyId=ASIAXYZ"):
+        text = f"{name} and {secret}"
+        found = {k: text[s:e] for k, s, e in S.linked_spans(text, S.base_spans(text), 200)}
+        assert found["secret"] == secret and found["identifier"].endswith(name[-3:]), name
+        assert S.linked_spans(name, S.base_spans(name), 200) == []
+
+
+def test_long_parts_are_whole():
+    secret = "Zm9vYmFyMTIzNDU2Nzg5MA12"
+    for part in ("user=" + "ab-" * 300 + "z", "https://h/" + "a.b~" * 3000, "a1." * 40 + "example.com"):
+        text = f"{secret} {part} end"
+        assert part in {text[s:e] for _, s, e in S.linked_spans(text, S.base_spans(text), 200)}
