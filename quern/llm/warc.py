@@ -25,7 +25,9 @@ from quern.llm.common import columns_for, new_path, written
 
 END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
+_BLANK = re.compile(rb"\r?\n\r?\n")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_FIELDS = re.compile(rb"(?:[!-9;-~]++:[^\n]*+\n)*+")
 GZIP = b"\x1f\x8b\x08"
 
 
@@ -66,7 +68,14 @@ def parse(data: memoryview, at: int) -> tuple[dict[str, str], int, int, int]:
     raw = bytes(data[at : at + 65536])
     if not (m := _VERSION.match(raw)):
         raise Bad("no version line")
-    end = re.compile(rb"\r?\n\r?\n").search(raw, m.end() - 2)
+    end, tested = _BLANK.search(raw, m.end() - 2), m.end()
+    while not end and at + len(raw) < len(data):  # a longer header, as long as its lines are header lines
+        line = raw.rfind(b"\n") + 1
+        if line > tested and not _FIELDS.fullmatch(raw, tested, line):
+            break
+        seen, tested = len(raw), max(tested, line)
+        raw = bytes(data[at : at + 2 * seen])
+        end = _BLANK.search(raw, max(m.end() - 2, seen - 3))
     if not end:
         raise Bad("header has no end")
     fields: dict[str, str] = {}

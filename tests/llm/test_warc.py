@@ -127,3 +127,21 @@ def test_gaps_reach_the_table(spark):
     gaps = sorted((r.file.rsplit("/", 1)[-1], r.end - r.start) for r in rows if r.gap)
     assert gaps == [("a.warc", 7), ("b.warc.gz", 12)]
     assert {bytes(r.payload) for r in rows if r.page_id == 2} == {b"<p>page 2</p>" * 3}
+
+
+def test_headers_of_any_length():
+    for url in ("data:text/html," + "a" * 70_000, "http://h/" + "a b\t" * 60_000, "x" * 1_000_000):
+        data = GOOD[0] + W.record(7, url, b"<p>long</p>") + W.END + GOOD[1]
+        found = list(W.salvage(data))
+        assert [k for k, *_ in found] == ["record"] * 3 and found[1][3][1].endswith(b"<p>long</p>")
+    for at in range(65_480, 65_560):  # the blank line across the window's end
+        data = W.record(7, "u" * (at - 300), b"y") + W.END
+        assert [k for k, *_ in W.salvage(data)] == ["record"]
+    lost = b"WARC/1.1\r\n" * 500 + b"no header " * 30_000
+    assert [k for k, *_ in W.salvage(GOOD[0] + lost + GOOD[1])][0] == "record"
+
+
+def test_a_page_with_a_very_long_url(spark):
+    rows = [(1, "http://h/1", "<p>a</p>"), (2, "data:text/plain," + "é b" * 40_000, "<p>b</p>"), (3, None, "<p>c</p>")]
+    found = W.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted(r.page_id for r in found) == [1, 2, 3]
