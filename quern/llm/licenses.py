@@ -1,8 +1,8 @@
 """License scans with a positional rare-token index, in DataFrame functions alone.
 
 The index holds, for every notice template, its words with their places (common words aside). Each file's licence
-words are kept with their places; the file's words of highest inverse document frequency are looked up in the index
-and each posting votes for (template, file place - template place). Votes that agree on one relative place
+words are kept with their places; all of them are looked up in the index, which has each template's words of highest
+inverse document frequency, and each posting votes for (template, file place - template place). Votes that agree on one relative place
 intersect the postings by position. A template then holds where enough of its rare words agree and its mandatory
 key phrase stands at that place, word for word.
 
@@ -121,10 +121,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         rare = sorted({w for w, _ in places}, key=lambda w: (-idf[w], w))[:LOOKUPS]
         total.append(sum(idf[w] for w in rare) or 1.0)
         postings += [(w, t, p, idf[w]) for w, p in places if w in rare]
-    weights = F.create_map(*(x for w, v in idf.items() for x in (F.lit(w), F.lit(v))))
     index = some.sparkSession.createDataFrame(postings, "w string, t int, p int, v double")  # the templates' words
-    ranked = F.array_sort(F.transform(F.array_distinct(F.col("hits.w")), lambda w: F.struct((-weights[w]).alias("v"), w.alias("w"))))
-    looked = some.withColumn("top", F.slice(ranked, 1, LOOKUPS)["w"]).select("row_no", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("top"), h["w"]))).alias("h"))
+    looked = some.select("row_no", F.explode("hits").alias("h"))
     votes = looked.select("row_no", "h.i", "h.w").join(F.broadcast(index), "w").select("row_no", "t", (F.col("i") - F.col("p")).alias("at"), "v")
     totals = F.array(*map(F.lit, total))
     agreed = votes.groupBy("row_no", "t", "at").agg(F.sum("v").alias("v")).withColumn("cover", F.least(F.col("v") / totals[F.col("t")], F.lit(1.0))).where(F.col("cover") >= LEAST_COVER)

@@ -78,3 +78,13 @@ def test_a_text_full_of_licence_words(spark):
 def test_no_python_in_the_plan(hard):
     plan = L.scan(hard)._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    """A file with more licence words than a template has keeps all its notices."""
+    notices = {label: notice for label, notice, _ in L.TEMPLATES}
+    docs = [(1, " and here ".join(notices.values())), (2, f"{notices['mit']} {notices['apache-2.0']}"), (3, f"{notices['mit']} {notices['gpl-3.0']}")]
+    docs += [(100 + i, "lorem ipsum " + (notices["mit"] if i % 3 else "dolor")) for i in range(300)]
+    rows = {r.doc_id: set(r.labels.split(",")) for r in L.scan(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)).collect()}
+    assert set(notices) <= rows[1]
+    assert rows[2] == {"mit", "apache-2.0"} and {"mit", "gpl-3.0"} <= rows[3]
