@@ -49,7 +49,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.train(*toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.trained(toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.scored(docs, model)
 
 
