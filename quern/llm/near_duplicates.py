@@ -9,13 +9,14 @@ Work stays in proportion to the input whatever the groups' sizes:
 1. Every text gets a row number, a digest, its sketches and its word hashes, written once. Exact copies meet by
    digest; one of each stands for them.
 2. Each band's bucket is aggregated to its least member, the pivot, and every other member is paired with that
-   alone: a bucket of n gives n - 1 pairs, never n * n. Pairs of all bands are made distinct before texts join.
-3. A pair whose edit similarity over words reaches the threshold is a link. Buckets whose members then belong to
-   more than one class are searched whole: members of different classes within reach in length meet in memory by
-   their bags of words, counted in 256 bins. An edit moves a bag by two at most, so no pair that links is dropped,
-   and only pairs that pass become rows and are verified.
-4. Links are contracted to classes by alternating large-star and small-star steps, each written to the shared
-   folder. Sums and minima are combined before each shuffle and joins on hot rows are left to AQE to split.
+   alone: a bucket of n gives n - 1 pairs, never n * n. Pairs of all bands are made distinct before texts join, and
+   those whose edit similarity over words reaches the threshold are links.
+3. Links are contracted to classes by alternating large-star and small-star steps, each written to the shared
+   folder.
+4. Members of buckets that still hold several classes, and texts too short for sketches, are searched exactly:
+   similar texts share one of their rarest words, a fixed share of them. Texts of such a word meet in blocks; pairs of
+   one class, and those whose lengths or bags of words are too far apart, end there. Of what is left, the nearest
+   pairs of two classes are verified first, and others only while their classes stay apart.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import columns_for, discard, plain_names, written
 from quern.llm.text import banded_distance, words
 
-SHINGLE, FUNCTIONS, MINIMA, SIMILARITY = 5, 40, 2, 0.8
-BINS = 256
+SHINGLE, FUNCTIONS, MINIMA, SIMILARITY, SHORT = 5, 80, 2, 0.8, 100
+BINS, BROADCAST_ROWS = 256, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,15 +73,16 @@ def labelled_kmers(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 def sketches(hashes: np.ndarray, functions: int = FUNCTIONS, minima: int = MINIMA) -> np.ndarray:
     """One value per function: its ``minima`` least labelled k-mers, in text order."""
     x = labelled_kmers(hashes)
+    order = (x >> np.uint64(32)).astype(np.uint32)  # orders need no more bits, and these multiply faster
     seeds = _mixed(np.arange(1, functions + 1, dtype=np.uint64) * _MIX)
-    odd, n, out = seeds | np.uint64(1), len(x), np.empty(functions, np.uint64)
-    step = max(1, 1_000_000 // n)
+    masks, n, out = seeds.astype(np.uint32), len(x), np.empty(functions, np.uint64)
+    odd, step = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1), max(1, 65_536 // n)
     for at in range(0, functions, step):
-        v = (x[None, :] ^ seeds[at : at + step, None]) * odd[at : at + step, None]
+        v = (order[None, :] ^ masks[at : at + step, None]) * odd[at : at + step, None]
         rows, places = np.arange(len(v)), []
         for _ in range(min(minima, n)):
             places.append(v.argmin(1))
-            v[rows, places[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            v[rows, places[-1]] = np.uint32(0xFFFFFFFF)
         h = seeds[at : at + step].copy()
         for p in np.sort(np.stack(places), 0):
             h = _mixed(h * _MIX + x[p])
@@ -109,18 +111,33 @@ def bag(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def within_reach(roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs of different classes whose lengths and bags allow a similarity of ``least``;
-    ``sizes`` ascend."""
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def within_reach(roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of different classes whose lengths and bags allow a similarity of ``least``, and
+    how far their bags are apart; ``sizes`` ascend."""
+    none = np.zeros(0, np.int64)
+    first, second, apart = [none], [none], [none]
     for j in range(1, len(sizes)):
         lo = int(np.searchsorted(sizes, least * sizes[j] - 1e-9))
         i = lo + np.flatnonzero(roots[lo:j] != roots[j])
         if len(i):
-            i = i[np.abs(bags[i] - bags[j]).sum(1) <= 2 * int((1 - least) * sizes[j] + 1e-9)]
-            first.append(i)
-            second.append(np.full(len(i), j))
-    return np.concatenate(first), np.concatenate(second)
+            gap = np.abs(bags[i] - bags[j]).sum(1)
+            near = gap <= 2 * int((1 - least) * sizes[j] + 1e-9)
+            first.append(i[near])
+            second.append(np.full(int(near.sum()), j))
+            apart.append(gap[near])
+    return np.concatenate(first), np.concatenate(second), np.concatenate(apart)
+
+
+def rare_words(hashes: np.ndarray, spread: np.ndarray, least: float) -> np.ndarray:
+    """Of a text of n words, the (1 - least) n + 1 that stand first in an order of all words, each labelled with its
+    occurrence; rare words come first. Texts of a similarity of ``least`` share one of them: of the longer text's
+    words all but (1 - least) n stand in the other as well."""
+    w = np.sort(hashes)
+    run = np.r_[True, w[1:] != w[:-1]]
+    at = np.arange(len(w))
+    label = (at - np.maximum.accumulate(np.where(run, at, 0))).astype(np.uint64)
+    order = np.lexsort((label, w, spread[w % len(spread)]))[: int((1 - least) * len(w) + 1e-9) + 1]
+    return _mixed(w[order].astype(np.uint64) + label[order] * _MIX).view(np.int64)
 
 
 SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, bag binary, words binary"
@@ -147,55 +164,114 @@ def signed(docs: DataFrame, functions: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
+def _semi(df: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``df`` whose node is in ``ids``, which are broadcast up to ``BROADCAST_ROWS`` of 8 bytes."""
+    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "node", "left_semi")
+
+
 def _shared(entries: DataFrame) -> DataFrame:
-    """The members of buckets of two and more, with the bucket's least member."""
-    pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return entries.join(pivots, "bucket").select("bucket", "pivot", "node")
+    """(bucket, pivot, node) of the buckets of two and more; the pivot is a bucket's least member. The pivots are
+    written apart from their join, whose large buckets AQE can then split."""
+    pivots = written(entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "pivots")
+    shared = written(entries.join(pivots, "bucket").select("bucket", "pivot", "node"), "shared")
+    discard(pivots)
+    return shared
 
 
 def _linear(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's least member."""
     return shared.where("node > pivot").select("pivot", "node").distinct()
 
 
-def _pairs(entries: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's least member."""
-    return _linear(_shared(entries))
+def _mixed_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes."""
+    rooted = shared.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
+    mixed = written(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket"), "mixed")
+    return shared.join(mixed, "bucket").select("node").distinct()
+
+
+def _word_spread(some: DataFrame, bins: int = 1 << 16) -> np.ndarray:
+    """How many texts hold a word of each of ``bins`` bins of word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bins, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                total[np.unique(np.frombuffer(value.as_buffer(), "<u4") % bins)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
 
+    counts = some.select("words").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most ``bins`` rows
+    out = np.zeros(bins, np.int64)
+    out[counts["bin"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return out
 
-def _across(shared: DataFrame, roots: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """The pairs in a bucket that lie in different classes and are within reach of ``least``; all of them."""
+
+def _candidates(some: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(a, b, gap): every pair of ``some`` (node, root, size, bag, words) of different classes that can be similar.
+
+    Pairs share one of their rare words (see ``rare_words``). A word's texts of its most frequent class are one side,
+    all others the other; both are cut into blocks of some ``block`` texts and each pair of blocks is compared in
+    memory, so that a word of many texts is many tasks' work. Bags that are too far apart end a pair there.
+    """
+    spread = _word_spread(some)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rare_words(np.frombuffer(v.as_buffer(), "<u4"), spread, least) for v in batch.column(2)]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), *(pa.array(batch.column(i).to_numpy()[of]) for i in (0, 1))], names=["word", "node", "root"])
 
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        buckets, nodes, roots, sizes, bags = columns
-        heads = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(heads, np.r_[heads[1:], len(buckets)], strict=True):
-            i, j = within_reach(roots[lo:hi], sizes[lo:hi], bags[lo:hi].astype(np.int16), least)
+        groups, nodes, roots, sizes, bags = columns
+        heads = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(1)])
+        a, b, gap = [], [], []
+        for lo, hi in zip(heads, np.r_[heads[1:], len(groups)], strict=True):
+            i, j, d = within_reach(roots[lo:hi], sizes[lo:hi], bags[lo:hi], least)
             a.append(nodes[lo:hi][i])
             b.append(nodes[lo:hi][j])
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["pivot", "node"])
+            gap.append(d)
+        x, y, d = np.concatenate(a), np.concatenate(b), np.concatenate(gap)
+        both, first = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(d[first].astype(np.int64))], names=["a", "b", "gap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BINS))
+            if not len(batch):
+                continue
+            new = [np.stack([batch.column(i).to_numpy() for i in range(2)], 1), *(batch.column(i).to_numpy() for i in range(2, 5))]
+            new.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16))
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            whole = int(np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])[-1]) if len(held[0]) else 0  # the last bucket may go on
+            whole = int(np.flatnonzero(np.r_[True, (held[0][1:] != held[0][:-1]).any(1)])[-1])  # the last group may go on
             if whole:
                 yield pairs([x[:whole] for x in held])
                 held = [x[whole:].copy() for x in held]
         if held:
             yield pairs(held)
 
-    rooted = shared.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    rows = rooted.join(mixed, "bucket").join(bags, "node").select("bucket", "node", "root", "size", "bag")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "size").mapInArrow(run, "pivot long, node long").distinct()
-
+    words = written(some.select("node", "root", "words").mapInArrow(rare, "word long, node long, root long"), "rare")
+    by_root = words.groupBy("word", "root").agg(F.count("*").alias("n"))
+    groups = by_root.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    cut = lambda n: F.ceil(n / block).cast("int")
+    groups = written(groups.select("word", F.col("most.root").alias("main"), cut(F.col("most.n")).alias("t_main"), cut(F.col("n") - F.col("most.n")).alias("t_rest")), "groups")
+    rows = words.join(groups, "word")
+    salt = F.xxhash64("node")
+    main, rest = F.pmod(salt, F.col("t_main")).cast("int"), F.pmod(salt, F.col("t_rest")).cast("int")
+    number = lambda kind, x, y: F.lit(kind) * (1 << 60) + x.cast("long") * (1 << 30) + y
+    every = lambda t, of: F.transform(F.sequence(F.lit(0), F.col(t) - 1), of)
+    across = F.when(F.col("root") == F.col("main"), every("t_rest", lambda j: number(1, main, j))).otherwise(every("t_main", lambda j: number(1, j, rest)))
+    inside = F.when((F.col("root") != F.col("main")) & (F.col("t_rest") > 1), every("t_rest", lambda j: number(0, F.least(rest, j), F.greatest(rest, j)))).otherwise(F.array().cast("array<bigint>"))
+    dealt = rows.select("word", "node", "root", F.explode(F.concat(across, inside)).alias("part")).join(some.select("node", "size", "bag"), "node")
+    found = dealt.select("word", "part", "node", "root", "size", "bag").repartition("word", "part").sortWithinPartitions("word", "part", "size").mapInArrow(run, "a long, b long, gap long")
+    out = written(found.groupBy("a", "b").agg(F.min("gap").alias("gap")), "candidates")
+    discard(words, groups)
+    return out
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(pivot, node, similarity) of the pairs, 0 where it is under ``least``; written."""
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -206,26 +282,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 out.append(similarity(x.tolist(), y.tolist(), least) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["pivot", "node", "similarity"])
 
-    a = texts.select(F.col("row_no").alias("pivot"), F.col("words").alias("a"))
-    b = texts.select(F.col("row_no").alias("node"), F.col("words").alias("b"))
+    pairs = written(pairs, "pairs")
+    ids = pairs.select("node").union(pairs.select("pivot")).distinct()
+    texts = _semi(nodes.select("node", "words"), ids, 2 * pairs.count())
+    a, b = texts.select(F.col("node").alias("pivot"), F.col("words").alias("a")), texts.select("node", F.col("words").alias("b"))
     both = pairs.join(b, "node").join(a, "pivot").select("pivot", "node", "a", "b")
-    return both.mapInArrow(run, "pivot long, node long, similarity double")
+    out = written(both.mapInArrow(run, "pivot long, node long, similarity double"), "tried")
+    discard(pairs)
+    return out
 
 
 def components(links: DataFrame, tag: str = "stars") -> DataFrame:
-    """(node, root) of every node that has links (pivot, node): root is the least node it is connected with."""
-    edges = written(links.select(F.col("node").alias("u"), F.col("pivot").alias("v")), tag)
+    """(node, root) of every node that has links (pivot, node): root is the least node it is connected with.
+
+    Large-star and small-star steps. A step's minima are written apart from their join, whose hot nodes AQE can then
+    split (or which broadcasts them while they are few)."""
+    edges = written(links.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), tag)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.where("v < u")
-        first = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(first, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), tag)
+        first = written(large.where("v < u").groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.where("v < u").join(first, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         new = written(small, tag)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        discard(edges)
+        discard(edges, least, large, first)
         edges = new
         if tuple(now) == mark:
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -234,37 +316,68 @@ def components(links: DataFrame, tag: str = "stars") -> DataFrame:
         mark = tuple(now)
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIONS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: class_id (the least doc_id of its class), class_size in documents, n_links (verified
-    links of its text to other texts), and row_no, d1, d2 (row number and digest).
-
-    Texts link when their edit similarity over lower-cased words is at least ``least``; a class is what links and
-    exact copies connect. Null and empty texts are copies of one another; texts without words otherwise link only
-    to exact copies. Repeated rows are copies. Null keys are kept: a class of none but null keys has a null
-    class_id. An empty table gives no rows; other columns are not looked at.
+def _linked(nodes: DataFrame, functions_of: DataFrame, least: float, short: int) -> DataFrame:
+    """(node, root) of the texts that links connect; see ``classes``."""
+    shared = _shared(functions_of.select("node", F.explode("sketch").alias("bucket")))
+    tried = _verified(_linear(shared), nodes, least)
+    roots = components(tried.where("similarity > 0").select("pivot", "node"))
+    chosen = nodes.where((F.col("size") > 0) & (F.col("size") < short / least)).select("node").union(_mixed_members(shared, roots)).distinct()
+    chosen = written(chosen, "chosen")
+    if not (n := chosen.count()):
+        discard(shared, tried, chosen)
+        return roots
+    known = _semi(nodes.select("node", "size", "bag", "words"), chosen, n).join(roots, "node", "left")
+    some = written(known.select("node", F.coalesce("root", "node").alias("root"), "size", "bag", "words"), "some")
+    left = _candidates(some, least)
+    discard(shared, chosen, some)
+    # Two classes need one link: their nearest pairs first, a few and then more, at last all that are left.
+    for slots in (4, 64, 0):
+        rest = left.join(tried.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
+        r = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        rest = rest.join(r, "b", "left").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        rest = rest.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra != rb")
+        if slots:
+            one = [F.least("ra", "rb"), F.greatest("ra", "rb"), F.pmod(F.xxhash64("a", "b"), F.lit(slots))]
+            rest = rest.groupBy(*one).agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("x.a", "x.b")
+        new = _verified(rest.select(F.col("a").alias("pivot"), F.col("b").alias("node")), nodes, least)
+        links = new.where("similarity > 0").select("pivot", "node")
+        more = new.count()
+        if more:
+            old, roots = roots, components(roots.select(F.col("root").alias("pivot"), "node").unionByName(links))
+            both = written(tried.unionByName(new), "tried")
+            discard(old, tried)
+            tried = both
+        discard(new)
+        if not more:
+            break
+    discard(tried, left)
+    return roots
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIONS, short: int = SHORT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: class_id (the least doc_id of its class), class_size in documents, and row_no, d1, d2
+    (row number and digest).
+
+    Texts link when their edit similarity over lower-cased words is at least ``least`` (words count as equal where 32
+    bits of their hashes are); a class is what links and exact copies connect. Every link between texts that share a
+    bucket is found, whatever the bucket's size, and every one of texts under ``short`` words. Null and empty texts are
+    copies of one another; texts without words otherwise link only to exact copies. Repeated rows are copies. Null
+    keys are kept: a class of none but null keys has a null class_id. An empty table gives no rows; other columns are
+    not looked at.
     """
     table = written(signed(columns_for(docs, k=key, t=text), functions), "signed")
     own = written(table.groupBy("d1", "d2").agg(F.min("row_no").alias("node")), "own")  # apart from the join, as "sizes" below
     members = written(table.select("row_no", "doc_id", "d1", "d2").join(own, ["d1", "d2"]), "members")
-    kept = own.select(F.col("node").alias("row_no"))
-    nodes = written(table.select("row_no", "sketch", "bag", (F.octet_length("words") / 4).cast("int").alias("size")).join(kept, "row_no"), "nodes")
-    texts = table.select("row_no", "words")
-    entries = nodes.select(F.col("row_no").alias("node"), F.explode("sketch").alias("bucket"))
-    shared = written(_shared(entries), "shared")
-    tried = written(_verified(_linear(shared), texts, least), "tried")
-    links = tried.where("similarity > 0").select("pivot", "node")
-    known = components(links)
-    bags = nodes.select(F.col("row_no").alias("node"), "size", "bag")
-    more = written(_verified(_across(shared, known, bags, least).join(tried, ["pivot", "node"], "left_anti"), texts, least), "tried")
-    links = links.unionByName(more.where("similarity > 0").select("pivot", "node"))
-    roots = components(links)
-    degree = links.unionByName(links.select(F.col("node").alias("pivot"), F.col("pivot").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = roots.join(degree, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root"), "n_links")
-    placed = written(members.join(found, "node", "left").select("row_no", "doc_id", "d1", "d2", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "placed")
+    kept = _semi(table.withColumnRenamed("row_no", "node"), own.select("node"), own.count())
+    nodes = written(kept.select("node", (F.octet_length("words") / 4).cast("int").alias("size"), "bag", "words"), "nodes")
+    sketched = written(kept.select("node", "sketch"), "sketches")
+    discard(table, own)
+    roots = _linked(nodes, sketched, least, short)
+    placed = written(members.join(roots, "node", "left").select("row_no", "doc_id", "d1", "d2", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
     sizes = written(sizes, "sizes")  # apart from the join below, whose large classes AQE can then split
-    discard(table, own, members, nodes, shared, tried, known, more, roots)
-    return placed.join(sizes, "root").select("doc_id", "class_id", "class_size", "n_links", "row_no", "d1", "d2", (F.col("row_no") == F.col("first.row_no")).alias("stays"))
+    discard(members, nodes, sketched, roots)
+    return placed.join(sizes, "root").select("doc_id", "class_id", "class_size", "row_no", "d1", "d2", (F.col("row_no") == F.col("first.row_no")).alias("stays"))
 
 
 def _number(column: str, at: int) -> F.Column:

@@ -32,7 +32,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_links")
+    return near_duplicates.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def test_empty_and_single_tables(hard, none):
     assert N.classes(none).count() == 0
     assert N.one_of_each(none).count() == 0
     one = hard.where("doc_id = 6")
-    assert [(r.class_id, r.class_size, r.n_links) for r in N.classes(one).collect()] == [(6, 1, 0)]
+    assert [(r.class_id, r.class_size) for r in N.classes(one).collect()] == [(6, 1)]
     assert N.one_of_each(one).count() == 1
 
 
@@ -145,8 +145,8 @@ def test_large_group_stays_small(spark):
     text = " ".join(f"w{i % 90}x{i}" for i in range(120))
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.lit(" z"), F.col("id")).alias("text"))
     table = N.signed(df.select(F.col("doc_id").alias("k"), F.col("text").alias("t")), N.FUNCTIONS)
-    pairs = N._pairs(table.select(F.col("row_no").alias("node"), F.explode("sketch").alias("bucket")))
-    assert pairs.count() < 400 * 4
+    pairs = N._linear(N._shared(table.select(F.col("row_no").alias("node"), F.explode("sketch").alias("bucket"))))
+    assert pairs.count() < 400 * 8
     assert {r.class_id for r in N.classes(df).collect()} == {0}
 
 
@@ -167,15 +167,72 @@ def test_hub_of_many_copies(spark):
     docs += [(400 + i, " ".join(passage + [f"u{i}x{k}" for k in range(120)])) for i in range(150)]
     docs += [(600 + i, " ".join(passage + _edited(own, 0.2, rng, f"d{i}"))) for i in range(60)] + [(700, " ".join(passage + own))]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    table = N.signed(df.selectExpr("doc_id k", "text t"), N.FUNCTIONS).select("doc_id", "sketch").collect()
-    buckets = {r.doc_id: set(r.sketch) for r in table}
     split = {i: t.split() for i, t in docs}
-    reachable = [(i, j) for i in split for j in split if i < j and buckets[i] & buckets[j] and N.similarity(split[i], split[j])]
-    wanted = union_find(reachable, split)
-    assert len({wanted[i] for i in range(301)}) < 8 and len({wanted[i] for i in range(400, 550)}) == 150
+    similar = [(i, j) for i in split for j in split if i < j and len(set(split[i]) & set(split[j])) > 60 and N.similarity(split[i], split[j])]
+    wanted = union_find(similar, split)
+    assert len({wanted[i] for i in range(301)}) == 1 and len({wanted[i] for i in range(400, 550)}) == 150
     assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == wanted
 
 
+def test_links_found_by_similarity():
+    """The share of pairs that meet in a bucket, at every similarity from the least one on; shorter texts are searched
+    exactly."""
+    rng = random.Random(11)
+    for n in (100, 150, 400):
+        for share in (0.2, 0.17, 0.15):
+            met = 0
+            for _ in range(100):
+                a = [rng.getrandbits(60) for _ in range(n)]
+                b = list(a)
+                for at in rng.sample(range(n), int(share * n)):
+                    b[at] = rng.getrandbits(60)
+                x, y = (N.sketches(np.array(w, np.uint64)) for w in (a, b))
+                met += bool((x == y).any())
+            assert met >= 85 if share == 0.2 else met >= 90
+
+
+def test_short_texts_link_without_common_shingles(spark):
+    """Nine words whose middle one differs share no five of them in a row."""
+    base = [f"s{i}" for i in range(9)]
+    docs = [(0, " ".join(base)), (1, " ".join([*base[:4], "odd", *base[5:]])), (2, " ".join([*base[:4], *base[5:]])), (3, " ".join(base[:5])), (4, "t1 t2 t3 t4 t5"), (5, "t1 t2 zz t4 t5")]
+    rows = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.integers(0, 2), st.integers(0, 12)), max_size=8), st.randoms())
+def test_similar_texts_share_a_rare_word(a, edits, rng):
+    b = list(a)
+    for at, kind, x in edits:
+        at %= len(b) + 1
+        b[at : at + (kind != 1)] = [] if kind == 0 else [x]
+    spread = np.array([rng.randrange(5) for _ in range(8)])
+    x, y = (N.rare_words(np.array(w, np.uint32), spread, 0.8) for w in (a, b or [99]))
+    assert not N.similarity(a, b) or set(x.tolist()) & set(y.tolist())
+
+
+def test_candidates_in_blocks(spark):
+    """Every pair of two classes within reach is found once, however the groups of a word are cut."""
+    rng = random.Random(6)
+    common = [rng.getrandbits(32) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        words = np.array(common[: 30 - i % 4] + [rng.getrandbits(32) for _ in range(i % 5)], np.uint32)
+        rows.append((i, 0 if i % 3 else i, len(words), bytearray(N.bag(words.astype(np.uint64))), bytearray(words.astype("<u4").tobytes())))
+    df = spark.createDataFrame(rows, "node long, root long, size int, bag binary, words binary").repartition(3)
+    wanted = set()
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            x, y = sorted((a, b), key=lambda r: r[2])
+            bags = np.stack([np.frombuffer(r[3], np.uint8) for r in (x, y)]).astype(np.int16)
+            if len(N.within_reach(np.array([x[1], y[1]]), np.array([x[2], y[2]]), bags, 0.8)[0]):
+                wanted.add((min(a[0], b[0]), max(a[0], b[0])))
+    for block in (3, 1000):
+        found = [(r.a, r.b) for r in N._candidates(df, 0.8, block).collect()]
+        similar = {(i, j) for i, j in wanted if N.similarity(*(np.frombuffer(rows[k][4], "<u4").tolist() for k in (i, j)))}
+        assert len(found) == len(set(found)) and similar <= set(found) <= wanted
+
+
 def test_reach_drops_no_pair():
     rng = random.Random(9)
     for _ in range(300):
