@@ -2,9 +2,9 @@
 
 The index holds, for every notice template, its words with their places (common words aside). Each file's licence
 words are kept with their places; all of them are looked up in the index, which has each template's words of highest
-inverse document frequency, and each posting votes for (template, file place - template place). Votes that agree on one relative place
-intersect the postings by position. A template then holds where enough of its rare words agree and its mandatory
-key phrase stands at that place, word for word.
+inverse document frequency and all those of its mandatory key phrase, and each posting votes for (template, file
+place - template place). Votes that agree on one relative place intersect the postings by position. A template holds
+where enough of its rare words and every word of its key phrase agree.
 
 Document frequencies are counted over all files. Texts are read once and never shuffled; what moves later are the
 few licence words. Votes are rows, summed before the shuffle, so a file full of licence words is no problem.
@@ -28,9 +28,11 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 TEMPLATES = [
     ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "agreed to in writing"),
     ("artistic-2.0", "licensed under the artistic license 2 0", "artistic license 2 0"),
     ("boost-1.0", "distributed under the boost software license version 1 0", "boost software license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
     ("bsd", "released under the bsd license", "bsd license"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
@@ -43,17 +45,21 @@ TEMPLATES = [
     ("cc0-1.0", "released under cc0 1 0 universal", "cc0 1 0"),
     ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2"),
+    ("gpl-3.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted"),
     ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "associated documentation files"),
     ("mit", "released under the mit license", "mit license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial portions"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "held liable for any damages"),
 ]
 
 #: Words of the templates too common to index.
-COMMON = "a and any are as for in into is made of or the this to under use with without"
+COMMON = "a all and any are as at be by for from in into is it its made may no nor of on or shall the this to under use used will with without your"
 
 LOOKUPS, LEAST_COVER = 8, 0.6
 _WORD = re.compile(r"[0-9a-z]+")
@@ -65,8 +71,9 @@ def _vocabulary() -> list[str]:
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words: runs of letters and digits of ASCII and of any other characters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """Words with A-Z in lower case: runs of letters and digits of ASCII and of any other characters."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
 def _places(hits: Column, phrase: str) -> Column:
@@ -89,6 +96,19 @@ def _key_places(notice: str, phrase: str) -> list[tuple[int, str]]:
     return [(first + i, w) for i, w in enumerate(part)]
 
 
+def _index(idf: dict[str, float]) -> tuple[list[tuple], list[float]]:
+    """Postings (word, template, place, weight of a rare word or 0, 1 for the key phrase) and each template's weight."""
+    common, postings, total = set(COMMON.split()), [], []
+    for t, (_, notice, phrase) in enumerate(TEMPLATES):
+        places = list(enumerate(_WORD.findall(notice)))
+        rare = sorted({w for _, w in places if w not in common}, key=lambda w: (-idf[w], w))[:LOOKUPS]
+        needed = set(_key_places(notice, phrase))
+        mine = [(w, t, p, idf[w] if w in rare else 0.0, int((p, w) in needed)) for p, w in places]
+        total.append(sum(v for _, _, _, v, _ in mine))
+        postings += [x for x in mine if x[3] or x[4]]
+    return postings, total
+
+
 def licence_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, row number, word count, and the licence words of each text with their places; written once."""
     vocabulary = _vocabulary()
@@ -114,21 +134,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     n = table.count()
     seen = some.select(F.explode(F.array_distinct(F.col("hits.w"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # one row per vocabulary word
     df = {r.w: r.n for r in seen}
-    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in _vocabulary()}
-    common, postings, total = set(COMMON.split()), [], []
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        places = [(w, p) for p, w in enumerate(_WORD.findall(notice)) if w not in common and w in idf]
-        rare = sorted({w for w, _ in places}, key=lambda w: (-idf[w], w))[:LOOKUPS]
-        total.append(sum(idf[w] for w in rare) or 1.0)
-        postings += [(w, t, p, idf[w]) for w, p in places if w in rare]
-    index = some.sparkSession.createDataFrame(postings, "w string, t int, p int, v double")  # the templates' words
+    idf = {w: 1 + math.log((n + 1) / (df.get(w, 0) + 1)) for w in _vocabulary()}  # positive, for words of all files as well
+    index, total = _index(idf)
+    index = some.sparkSession.createDataFrame(index, "w string, t int, p int, v double, k int")  # the templates' words
     looked = some.select("row_no", F.explode("hits").alias("h"))
-    votes = looked.select("row_no", "h.i", "h.w").join(F.broadcast(index), "w").select("row_no", "t", (F.col("i") - F.col("p")).alias("at"), "v")
-    totals = F.array(*map(F.lit, total))
-    agreed = votes.groupBy("row_no", "t", "at").agg(F.sum("v").alias("v")).withColumn("cover", F.least(F.col("v") / totals[F.col("t")], F.lit(1.0))).where(F.col("cover") >= LEAST_COVER)
-    needed = F.array(*(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in _key_places(notice, phrase))) for _, notice, phrase in TEMPLATES))
-    names = F.array(*(F.lit(label) for label, _, _ in TEMPLATES))
-    checked = agreed.join(some.select("row_no", "hits"), "row_no").where(F.forall(needed[F.col("t")], lambda q: F.exists("hits", lambda h: (h["i"] == F.col("at") + q["p"]) & (h["w"] == q["w"]))))
+    votes = looked.select("row_no", "h.i", "h.w").join(F.broadcast(index), "w").select("row_no", "t", (F.col("i") - F.col("p")).alias("at"), "v", "k")
+    totals, sizes, names = (F.array(*map(F.lit, x)) for x in (total, [len(phrase.split()) for _, _, phrase in TEMPLATES], [label for label, _, _ in TEMPLATES]))
+    agreed = votes.groupBy("row_no", "t", "at").agg(F.sum("v").alias("v"), F.sum("k").alias("k")).where(F.col("k") == sizes[F.col("t")])
+    checked = agreed.withColumn("cover", F.least(F.col("v") / totals[F.col("t")], F.lit(1.0))).where(F.col("cover") >= LEAST_COVER)
     held = checked.groupBy("row_no").agg(F.collect_set(names[F.col("t")]).alias("own"), F.max("cover").alias("cover"))  # at most as many as templates
     base = [(label, _places(F.col("hits"), phrase)) for phrase, label in BASE.items()]
     placed = some.select("row_no", "hits", *(p.alias(f"b{i}") for i, (_, p) in enumerate(base))).drop("hits")
