@@ -2,11 +2,18 @@
 
 Each text has a vector of transformed statistics. For every language and source the minimum covariance determinant
 is approached by concentration steps: a mean and covariance, the distance of every row, the fraction ``support`` of
-rows of least distance, their mean and covariance, and so on. Steps are plain aggregates over all rows: sums of
-products are combined before the shuffle and the distance that cuts off the fraction is a mergeable quantile, so a
-source with a third of all rows is no task's burden. Each estimate is a Cholesky factor, one row per group.
-
-Rows beyond the chi-square bound are rejected. The bound is far out (see ``Z``): rules should drop junk, not tails.
+rows of least distance, their mean and covariance, and so on until no group's determinant falls any more. Steps begin
+from three subsets, middle boxes of different width, and each group takes the result of least determinant. Steps are
+plain aggregates over all rows: sums of products are combined before the shuffle and the distance that cuts off the
+fraction is a mergeable quantile, so a source with a third of all rows is no task's burden.
+
+A group's moments are drawn towards its language's, and those towards the whole table's, as if by ``PRIOR`` rows. So
+groups of any size are judged by one law: one of a single row has nearly its language's estimate, one of thousands
+its own.
+
+Rows beyond the chi-square bound are rejected, by their distance alone. The statistics are rates, bounded below by
+what clean text has; a text's length isn't among them, since long texts are no junk. The bound is far out (see
+``Z``): rules should drop junk, not tails.
 """
 
 from __future__ import annotations
@@ -21,9 +28,14 @@ from pyspark.sql import functions as F
 from quern.llm.common import columns_for, discard, written
 
 #: Least standard deviation per statistic: what is nearly constant in clean text must not make small changes outliers.
-FLOORS = {"length": 0.5, "word_size": 0.1, "symbols": 0.3, "lines": 0.35, "repeats": 0.35}
+FLOORS = {"word_size": 0.1, "symbols": 0.3, "lines": 0.35, "repeats": 0.35}
 NAMES = tuple(FLOORS)
-SUPPORT, STEPS, LEAST_ROWS = 0.75, 4, 200
+SUPPORT, PRIOR = 0.75, 20.0
+#: Half widths of the boxes that steps begin from, in ranges between quartiles about their middle.
+WIDTHS = (0.75, 1.5, math.inf)
+#: Steps end when no determinant's logarithm falls by more than ``SETTLED``, which a falling sequence must reach; the
+#: quantiles are approximate, so there is an upper bound as well.
+SETTLED, MOST_STEPS = 1e-3, 30
 #: Standard deviations of a normal with the rejection's tail probability (2.9e-7).
 Z = 5.0
 GROUPS_BROADCAST = 100_000
@@ -95,7 +107,6 @@ def vector() -> dict[str, Column]:
     """The transformed statistics of a row of counts."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
-        "length": F.log1p(F.col("n_words").cast("double")),
         "word_size": F.log(F.greatest(F.col("word_chars") / n, F.lit(0.5))),
         "symbols": F.log1p(100 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "lines": F.log1p(10 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
@@ -103,81 +114,96 @@ def vector() -> dict[str, Column]:
     }
 
 
+_D = range(len(NAMES))
+_PAIRS = [(i, j) for i in _D for j in range(i + 1)]
+_MOMENTS = [f"m{i}" for i in _D] + [f"c{i}{j}" for i, j in _PAIRS]
+
+
+def _moments(sums: DataFrame, key: list[str]) -> DataFrame:
+    """key, n, means and covariances of the sums (n, s_i, p_ij) of each key."""
+    total = sums.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in _D), *(f"p{i}{j}" for i, j in _PAIRS)]))
+    mean = {i: F.col(f"s{i}") / F.col("n") for i in _D}
+    return total.select(*key, "n", *(mean[i].alias(f"m{i}") for i in _D), *((F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def _drawn(own: DataFrame, prior: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+    """``own`` moments drawn towards ``prior`` ones as if those came from PRIOR more rows."""
+    both = own.join(prior.select(*on, *(F.col(c).alias(f"_{c}") for c in _MOMENTS)), on)
+    return both.select(*keep, "n", *(((F.col("n") * F.col(c) + PRIOR * F.col(f"_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in _MOMENTS))
+
+
 def _estimate(rows: DataFrame, key: list[str], factor: float) -> DataFrame:
-    """One row per group: mean m_i and Cholesky factor l_i_j of the covariance times ``factor``, floors added."""
-    d = range(len(NAMES))
-    sums = rows.groupBy(*key).agg(F.count("*").alias("n"), *(F.avg(NAMES[i]).alias(f"m{i}") for i in d), *(F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in d for j in range(i + 1)))
-    out = sums.select(*key, "n", *(F.col(f"m{i}") for i in d), *((factor * F.greatest(F.col(f"s{i}{i}") - F.col(f"m{i}") ** 2, F.lit(0.0)) + FLOORS[NAMES[i]] ** 2 if i == j else factor * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"c{i}{j}") for i in d for j in range(i + 1)))
-    for j in d:  # a column of the factor at a time
+    """One row per group and start: mean m_i, Cholesky factor l_i_j of the covariance times ``factor``, floors added,
+    and the logarithm of its determinant. ``key`` goes from the language to the group."""
+    sums = rows.groupBy(*key, "start").agg(F.count("*").alias("n"), *(F.sum(NAMES[i]).alias(f"s{i}") for i in _D), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i, j in _PAIRS))
+    sums = written(sums, "sums")
+    out = _moments(sums, ["start"])
+    for depth in range(1, len(key) + 1):
+        on = [*key[: depth - 1], "start"]
+        out = _drawn(_moments(sums, [*key[:depth], "start"]), out, on, [*key[:depth], "start"])
+    out = out.withColumns({f"c{i}{j}": factor * (F.greatest(F.col(f"c{i}{j}"), F.lit(0.0)) if i == j else F.col(f"c{i}{j}")) + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0) for i, j in _PAIRS})
+    for j in _D:  # a column of the factor at a time
         cut = reduce(add, (F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))
         out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - cut, F.lit(FLOORS[NAMES[j]] ** 2 / 100))))
         below = {f"l{i}{j}": (F.col(f"c{i}{j}") - reduce(add, (F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, len(NAMES))}
         out = out.withColumns(below) if below else out
-    return out.drop(*(f"c{i}{j}" for i in d for j in range(i + 1)))
+    logs = reduce(add, (2 * F.log(f"l{i}{i}") for i in _D))
+    out = written(out.select(*key, "start", *(f"m{i}" for i in _D), *(f"l{i}{j}" for i, j in _PAIRS), logs.alias("log_det")), "mcd")
+    discard(sums)
+    return out
 
 
-def _distances(rows: DataFrame, estimates: DataFrame, key: list[str], few: bool) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance, by forward substitution."""
-    table = estimates.drop("n")
-    out = rows.join(F.broadcast(table) if few else table, key)
-    for i in range(len(NAMES)):
+def _distances(rows: DataFrame, estimates: DataFrame, key: list[str], few: bool, more: list[str]) -> DataFrame:
+    """``rows`` with the columns ``more`` of the estimates and ``d2``, the squared Mahalanobis distance, by forward
+    substitution."""
+    out = rows.join(F.broadcast(estimates) if few else estimates, key)
+    for i in _D:
         out = out.withColumn(f"y{i}", (F.col(NAMES[i]) - F.col(f"m{i}") - reduce(add, (F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-    d2 = reduce(add, (F.col(f"y{i}") ** 2 for i in range(len(NAMES))))
-    return out.select(*rows.columns, d2.alias("d2"))
-
-
-def outliers(rows: DataFrame, key: list[str], support: float = SUPPORT, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """``rows`` (with the statistics NAMES and the group columns ``key``) with their ``d2``; null in groups under
-    ``least_rows`` rows."""
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
-    groups = sizes.count()
-    few = groups <= GROUPS_BROADCAST  # a row of 22 numbers each: some 20 MB at most
-    # The start: rows within the middle half of every statistic weigh in, by groupwise quartiles.
-    quart = rows.groupBy(*key).agg(F.count("*").alias("_n"), *(F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(f"_q_{c}") for c in NAMES)).where(F.col("_n") >= least_rows).drop("_n")
+    d2 = reduce(add, (F.col(f"y{i}") ** 2 for i in _D))
+    return out.select(*rows.columns, *more, d2.alias("d2"))
+
+
+def outliers(rows: DataFrame, key: list[str], support: float = SUPPORT) -> DataFrame:
+    """``rows`` (with the statistics NAMES and the group columns ``key``) with their ``d2``."""
+    quart = written(rows.groupBy(*key).agg(*(F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(f"_q_{c}") for c in NAMES)), "quartiles")
+    groups = quart.count()
+    few = groups * len(WIDTHS) <= GROUPS_BROADCAST  # a row of some 15 numbers each: 15 MB at most
     near = rows.join(F.broadcast(quart) if few else quart, key)
     off = [F.abs(F.col(c) - (F.col(f"_q_{c}")[0] + F.col(f"_q_{c}")[1]) / 2) / F.greatest(F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0], F.lit(FLOORS[c])) for c in NAMES]
-    start = near.where(F.greatest(*off) <= 1.5).select(*rows.columns)
-    table = written(_estimate(start, key, 1.0), "mcd")
-    scale = consistency(len(NAMES), support)
-    for _ in range(steps):
-        held = _distances(rows, table, key, few)
-        cut = held.groupBy(*key).agg(F.percentile_approx("d2", support, ACCURACY).alias("_cut"))
-        central = held.join(F.broadcast(cut) if few else cut, key).where(F.col("d2") <= F.col("_cut")).drop("d2", "_cut")
-        new = written(_estimate(central, key, scale), "mcd")
+    inside = F.filter(F.array(*(F.when(F.greatest(*off) <= w, F.lit(i)) for i, w in enumerate(WIDTHS))), lambda x: x.isNotNull())
+    table = _estimate(near.select(*key, *NAMES, F.explode(inside).alias("start")), key, 1.0)
+    scale, plain = consistency(len(NAMES), support), rows.select(*key, *NAMES)
+    for step in range(MOST_STEPS):
+        held = _distances(plain, table, key, few, ["start"])
+        cut = held.groupBy(*key, "start").agg(F.percentile_approx("d2", support, ACCURACY).alias("_cut"))
+        central = held.join(F.broadcast(cut) if few else cut, [*key, "start"]).where(F.col("d2") <= F.col("_cut"))
+        new = _estimate(central, key, scale)
+        fall = new.join(table.select(*key, "start", F.col("log_det").alias("_last")), [*key, "start"]).agg(F.max(F.col("_last") - F.col("log_det"))).first()[0]
         discard(table)
         table = new
-    return _distances(rows, table, key, few)
+        if step and (fall is None or fall <= SETTLED):  # the first step changes the scale
+            break
+    best = written(table.groupBy(*key).agg(F.min_by(F.struct(*(c for c in table.columns if c not in key)), F.struct("log_det", "start")).alias("x")).select(*key, "x.*"), "best")
+    discard(table, quart)
+    return _distances(rows, best, key, few, [])
 
 
 def judged(docs: DataFrame, z: float = Z, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per document: its counts, base_failed, distance and kept.
 
     ``kept`` is false where base_failed (under 10 words, or over a fifth of the words in repeated five-word windows)
-    or where the vector lies beyond the bound of its group *and* on the side of junk: more symbols, repeated lines or
-    repeated words than the group's middle, or words of odd size. Estimates are made from rows that pass the base
-    rule. A group is a language and a source; those under ``LEAST_ROWS`` rows are judged together with the other small
-    ones of their language, those with too few again together with all such, and fewer than that not at all (kept). Null texts are empty, null languages
-    and sources are groups of their own, repeated rows are each judged, an empty table gives no rows and other
-    columns are not looked at. Texts are read once and never shuffled.
+    or where the vector's distance is beyond the bound. Estimates are made from rows that pass the base rule, for
+    groups of a language and a source of any size. Null texts are empty, null languages and sources are groups of
+    their own, repeated rows are each judged, an empty table gives no rows and other columns are not looked at. Texts
+    are read once and never shuffled.
     """
     source_rows = columns_for(docs, k=key, t=text, g=lang, s=source)
     stats = source_rows.select(F.col("k").alias("doc_id"), F.coalesce("g", F.lit("\0")).alias("g"), F.coalesce("s", F.lit("\0")).alias("s"), base_statistics(F.col("t")).alias("x")).select("doc_id", "g", "s", "x.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = written(stats.withColumn("base_failed", failed).withColumns(vector()), "statistics")
-    good = rows.where(~F.col("base_failed"))
-    counts = written(good.groupBy("g", "s").agg(F.count("*").alias("n")), "counts")
-    small = counts.where(F.col("n") < LEAST_ROWS).groupBy("g").agg(F.sum("n").alias("ng"))
-    level = counts.join(small, "g", "left").select("g", "s", F.when(F.col("n") >= LEAST_ROWS, 0).when(F.col("ng") >= LEAST_ROWS, 1).otherwise(2).alias("level"))
-    few = counts.count() <= GROUPS_BROADCAST
-    keyed = good.join(F.broadcast(level) if few else level, ["g", "s"]).select("*", F.when(F.col("level") < 2, F.col("g")).otherwise("\1").alias("kg"), F.when(F.col("level") == 0, F.col("s")).otherwise("\1").alias("ks"))
-    measured = outliers(keyed, ["kg", "ks"])
+    measured = outliers(rows.where(~F.col("base_failed")), ["g", "s"])
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    junk = (F.col("symbols") > F.log1p(F.lit(5.0))) | (F.col("lines") > F.log1p(F.lit(2.0))) | (F.col("repeats") > F.log1p(F.lit(1.0))) | (F.col("word_size") < math.log(2)) | (F.col("word_size") > math.log(15))
-    verdict = F.coalesce(~((F.col("d2") > chi_square_bound(len(NAMES), z)) & junk), F.lit(True))
-    thin = keyed.groupBy("kg", "ks").agg(F.count("*").alias("_n")).where(F.col("_n") < LEAST_ROWS).drop("_n")
-    unjudged = keyed.join(F.broadcast(thin) if few else thin, ["kg", "ks"], "left_semi")
-    return (
-        measured.select(*columns, verdict.alias("kept"), F.sqrt("d2").alias("distance"))
-        .unionByName(unjudged.select(*columns, F.lit(True).alias("kept"), F.lit(None).cast("double").alias("distance")))
-        .unionByName(rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
+    verdict = F.col("d2") <= chi_square_bound(len(NAMES), z)
+    return measured.select(*columns, verdict.alias("kept"), F.sqrt("d2").alias("distance")).unionByName(
+        rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     )

@@ -29,31 +29,60 @@ def test_counts_against_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(texts[r.i]), repr(texts[r.i])
 
 
-def mcd(x, support=Q.SUPPORT, steps=Q.STEPS):
-    """The same estimate in numpy over one group."""
-    floors = np.array(list(Q.FLOORS.values()))
-    q1, q3 = (np.quantile(x, q, axis=0, method="inverted_cdf") for q in (0.25, 0.75))
-    rows = x[(np.abs(x - (q1 + q3) / 2) / np.maximum(q3 - q1, floors)).max(1) <= 1.5]
-    factor = 1.0
-    for _ in range(steps + 1):
-        m, c = rows.mean(0), factor * np.cov(rows.T, bias=True) + np.diag(floors**2)
-        d2 = np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
-        rows, factor = x[d2 <= np.quantile(d2, support, method="inverted_cdf")], Q.consistency(x.shape[1], support)
-    return d2
+def drawn(n, mean, cov, prior):
+    return (n * mean + Q.PRIOR * prior[0]) / (n + Q.PRIOR), (n * cov + Q.PRIOR * prior[1]) / (n + Q.PRIOR)
+
+
+def moments(x):
+    return len(x), x.mean(0), np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1])
+
+
+def mcd(groups, support=Q.SUPPORT):
+    """The same estimate in numpy: ``groups`` maps (language, source) to its rows; squared distances of each."""
+    floors, dets, places = np.array(list(Q.FLOORS.values())), {}, {}
+
+    def estimate(chosen, factor):
+        whole = moments(np.concatenate(list(chosen.values())))[1:]
+        of_language = {g: drawn(*moments(np.concatenate([x for (h, _), x in chosen.items() if h == g])), whole) for g, _ in chosen}
+        return {k: (m, factor * c + np.diag(floors**2)) for k, x in chosen.items() for m, c in [drawn(*moments(x), of_language[k[0]])]}
+
+    def distance(x, m, c):
+        return np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+
+    for start, width in enumerate(Q.WIDTHS):
+        chosen = {}
+        for k, x in groups.items():
+            q1, q3 = (np.quantile(x, q, axis=0, method="inverted_cdf") for q in (0.25, 0.75))
+            inside = x[(np.abs(x - (q1 + q3) / 2) / np.maximum(q3 - q1, floors)).max(1) <= width]
+            if len(inside):
+                chosen[k] = inside
+        found = estimate(chosen, 1.0)
+        for _ in range(40):
+            chosen = {}
+            for k, (m, c) in found.items():
+                d2 = distance(groups[k], m, c)
+                chosen[k] = groups[k][d2 <= np.quantile(d2, support, method="inverted_cdf")]
+            found = estimate(chosen, Q.consistency(len(floors), support))
+        for k, (m, c) in found.items():
+            dets[k, start], places[k, start] = np.linalg.slogdet(c)[1], (m, c)
+    return {k: distance(x, *places[min((d, k, i) for (j, i), d in dets.items() if j == k)[1:]]) for k, x in groups.items()}
 
 
 def test_distances_against_numpy(spark):
     rng = np.random.default_rng(4)
-    frames = []
-    for group, n in (("a", 500), ("b", 900)):
-        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 0.3 + rng.normal(size=5)
+    d, groups, frames = len(Q.NAMES), {}, []
+    for key, n in ((("a", "x"), 500), (("a", "y"), 900), (("b", "x"), 300), (("b", "z"), 7), (("c", "x"), 1)):
+        x = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) * 0.3 + rng.normal(size=d)
         x[: n // 10] += 15
-        frames.append(pd.DataFrame(x, columns=list(Q.NAMES)).assign(g=group, i=range(n)))
-    found = Q.outliers(spark.createDataFrame(pd.concat(frames)), ["g"]).toPandas()
-    for f in frames:
-        got = found[found.g == f.g[0]].sort_values("i").d2.to_numpy()
-        assert np.allclose(got, mcd(f[list(Q.NAMES)].to_numpy()), rtol=1e-6)
-        assert (got[: len(f) // 10] > Q.chi_square_bound(5)).all() and (got[len(f) // 10 :] > Q.chi_square_bound(5)).mean() < 0.01
+        groups[key] = x
+        frames.append(pd.DataFrame(x, columns=list(Q.NAMES)).assign(g=key[0], s=key[1], i=range(n)))
+    found = Q.outliers(spark.createDataFrame(pd.concat(frames)), ["g", "s"]).toPandas()
+    wanted = mcd(groups)
+    for (g, s), x in groups.items():
+        got = found[(found.g == g) & (found.s == s)].sort_values("i").d2.to_numpy()
+        assert np.allclose(got, wanted[g, s], rtol=0.02, atol=0.05)
+        if len(x) >= 300:
+            assert (got[: len(x) // 10] > Q.chi_square_bound(d)).all() and (got[len(x) // 10 :] > Q.chi_square_bound(d)).mean() < 0.01
 
 
 def test_consistency_factor():
@@ -74,13 +103,32 @@ def test_junk_goes_and_clean_stays(spark):
     assert not any(found[600 + i].kept for i in range(20))
 
 
+def test_joint_distance_alone_decides(spark):
+    """Rows that no single statistic gives away, long clean texts, and a source of one row."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 1)) * 0.5
+    rows = [(float(a + e), float(2 * a - e), 0.0, 0.0, "en", "s") for a, e in zip(x[:, 0], rng.normal(size=2000) * 0.01, strict=True)]
+    rows += [(4.0, -8.0, 3.0, 3.0, "en", "s"), (0.1, 0.2, 0.0, 0.0, "en", "lone"), (9.0, -30.0, 3.0, 3.0, "en", "other")]
+    df = spark.createDataFrame(rows, [*Q.NAMES, "g", "s"])
+    far = [r.d2 > Q.chi_square_bound(len(Q.NAMES)) for r in Q.outliers(df, ["g", "s"]).orderBy("s", "word_size").collect()]
+    assert far[0] is False and far[1] is True and far[-1] is True and sum(far[2:-1]) <= 2
+
+
+def test_rejects_junk_and_keeps_the_rest(spark):
+    d = "/root/testdata/sf0.1"
+    rows = Q.judged(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").select("kept", "quality").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    assert good.kept.mean() > 0.995 and bad.kept.mean() < 0.75
+
+
 def test_hard_rows(hard, none):
     rows = Q.judged(hard).collect()
     wanted = sorted(((r.doc_id, *brute(r.text)) for r in hard.collect()), key=str)
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows), key=str) == wanted
     for r in rows:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
-        assert r.kept == (not r.base_failed)  # too few rows to judge by distance
+        assert r.kept == (not r.base_failed and r.distance**2 <= Q.chi_square_bound(len(Q.NAMES)))
+    assert all((r.distance is None) == r.base_failed for r in rows)
     assert Q.judged(none).count() == 0
 
 
