@@ -6,19 +6,15 @@ from quern.llm import decontamination as D
 from quern.llm.text import search, words
 
 
-def brute(docs, items, rate=0.15, piece=5):
+def brute(docs, items, rate=0.15):
     out = {}
     for d, text in docs:
         w = words(text)
         for i, t in items:
             p = words(t)
-            if not p:
+            if not p or not w:
                 continue
-            if len(p) < piece:
-                if p == w:
-                    out[d, i] = 0
-                continue
-            k = D.budget(len(p), rate, piece)
+            k = int(rate * len(p))
             dist = search(p, w)[0]
             if dist <= k:
                 out[d, i] = dist
@@ -68,7 +64,31 @@ def test_hard_rows_and_empty_tables(spark, hard, none):
 
 def test_pieces_cover_the_item():
     for n in range(1, 70):
-        k = D.budget(n, 0.15, 5)
+        k = D.budget(n, 0.15)
+        assert k == n * 15 // 100
         parts = D.pieces(n, k)
         assert parts[0][0] == 0 and parts[-1][1] == n and len(parts) == k + 1
         assert all(a[1] == b[0] and b[1] > b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_one_law_for_all_lengths(spark):
+    """Items of one word to forty, whole and with as many errors as the rate gives and one more."""
+    rng = random.Random(3)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 41)]
+    docs = []
+    for n, t in items:
+        for errors in (0, n * 15 // 100, n * 15 // 100 + 1):
+            w = t.split()
+            for at in rng.sample(range(n), min(errors, n)):
+                w[at] = "odd"
+            docs.append((1000 * errors + n, " ".join(["before", *w, "after"])))
+    found = {(r.doc_id, r.item_id, r.distance) for r in D.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items * 2, "item_id long, text string")).collect()}
+    assert found == {(d, d % 1000, d // 1000) for d, _ in docs if d // 1000 <= d % 1000 * 15 // 100}
+
+
+def test_copies_of_an_item_are_spread(spark):
+    """Many keys with one text don't meet in one block; equal rows count once."""
+    text = " ".join(f"w{i}" for i in range(40))
+    items = spark.range(300).selectExpr("id AS item_id", f"'{text}' AS text")
+    blocks = list(D._blocks(items.unionByName(items), 2000, "item_id", "text"))
+    assert sum(map(len, blocks)) == 300 and max(map(len, blocks)) < 40
