@@ -13,10 +13,11 @@ Work stays in proportion to the input whatever the groups' sizes:
    those whose edit similarity over words reaches the threshold are links.
 3. Links are contracted to classes by alternating large-star and small-star steps, each written to the shared
    folder.
-4. Members of buckets that still hold several classes, and texts too short for sketches, are searched exactly:
-   similar texts share one of their rarest words, a fixed share of them. Texts of such a word meet in blocks; pairs of
-   one class, and those whose lengths or bags of words are too far apart, end there. Of what is left, the nearest
-   pairs of two classes are verified first, and others only while their classes stay apart.
+4. Buckets that still hold several classes, and texts too short for sketches, are searched whole. Members of large
+   buckets and short texts meet by rare pairs of neighbouring words, since similar texts share one of a fixed share of
+   their rarest ones; members of other buckets meet there. They meet in blocks of bounded size; pairs of one class, and those whose
+   lengths or bags of words are too far apart, end there. Of what is left, the nearest pairs of two classes are
+   verified first, and others only while their classes stay apart.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from quern.llm.text import banded_distance, words
 
 SHINGLE, FUNCTIONS, MINIMA, SIMILARITY, SHORT = 5, 80, 2, 0.8, 100
 BINS, BROADCAST_ROWS = 256, 1_000_000
+#: Larger buckets of several classes are searched by rare pairs.
+LARGE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,16 +131,26 @@ def within_reach(roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, least:
     return np.concatenate(first), np.concatenate(second), np.concatenate(apart)
 
 
-def rare_words(hashes: np.ndarray, spread: np.ndarray, least: float) -> np.ndarray:
-    """Of a text of n words, the (1 - least) n + 1 that stand first in an order of all words, each labelled with its
-    occurrence; rare words come first. Texts of a similarity of ``least`` share one of them: of the longer text's
-    words all but (1 - least) n stand in the other as well."""
-    w = np.sort(hashes)
-    run = np.r_[True, w[1:] != w[:-1]]
-    at = np.arange(len(w))
-    label = (at - np.maximum.accumulate(np.where(run, at, 0))).astype(np.uint64)
-    order = np.lexsort((label, w, spread[w % len(spread)]))[: int((1 - least) * len(w) + 1e-9) + 1]
-    return _mixed(w[order].astype(np.uint64) + label[order] * _MIX).view(np.int64)
+def word_pairs(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, the first word's with the text's begin; as many as words."""
+    w = hashes.astype(np.uint64)
+    return _mixed(np.r_[np.uint64(1 << 40), w[:-1]] * _MIX + w)
+
+
+def rare_pairs(hashes: np.ndarray, spread: np.ndarray, least: float) -> np.ndarray:
+    """Of a text's word pairs, each labelled with its occurrence, those that stand first in an order of all pairs, rare
+    ones first; as many as make sure that texts of a similarity of ``least`` share one.
+
+    An edit breaks two pairs at most, so a text of L words shares all but 2 d of its pairs with one at most as long at
+    distance d, which is (1 - least) L at most.
+    """
+    n = len(hashes)
+    needed = max(n - longer + 2 * int((1 - least) * longer + 1e-9) + 1 for longer in range(n, n + 6))
+    p = np.sort(word_pairs(hashes))
+    at = np.arange(n)
+    label = (at - np.maximum.accumulate(np.where(np.r_[True, p[1:] != p[:-1]], at, 0))).astype(np.uint64)
+    order = np.lexsort((label, p, spread[(p % np.uint64(len(spread))).astype(np.int64)]))[:needed]
+    return _mixed(p[order] + label[order] * _MIX).view(np.int64)
 
 
 SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, bag binary, words binary"
@@ -173,7 +186,7 @@ def _shared(entries: DataFrame) -> DataFrame:
     """(bucket, pivot, node) of the buckets of two and more; the pivot is a bucket's least member. The pivots are
     written apart from their join, whose large buckets AQE can then split."""
     pivots = written(entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "pivots")
-    shared = written(entries.join(pivots, "bucket").select("bucket", "pivot", "node"), "shared")
+    shared = written(entries.join(pivots.hint("merge"), "bucket").select("bucket", "pivot", "node"), "shared")
     discard(pivots)
     return shared
 
@@ -183,21 +196,23 @@ def _linear(shared: DataFrame) -> DataFrame:
     return shared.where("node > pivot").select("pivot", "node").distinct()
 
 
-def _mixed_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes."""
+def _mixed_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, n, node) of the buckets of n members that hold several classes."""
     rooted = shared.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
-    mixed = written(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket"), "mixed")
-    return shared.join(mixed, "bucket").select("node").distinct()
+    mixed = written(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", "n"), "mixed")
+    rows = written(shared.join(mixed, "bucket").select("bucket", "n", "node"), "mixed")
+    discard(mixed)
+    return rows
 
 
-def _word_spread(some: DataFrame, bins: int = 1 << 16) -> np.ndarray:
-    """How many texts hold a word of each of ``bins`` bins of word hashes."""
+def _pair_spread(some: DataFrame, bins: int = 1 << 18) -> np.ndarray:
+    """How many texts hold a word pair of each of ``bins`` bins of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(bins, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                total[np.unique(np.frombuffer(value.as_buffer(), "<u4") % bins)] += 1
+                total[np.unique(word_pairs(np.frombuffer(value.as_buffer(), "<u4")) % np.uint64(bins)).astype(np.int64)] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
 
@@ -207,20 +222,27 @@ def _word_spread(some: DataFrame, bins: int = 1 << 16) -> np.ndarray:
     return out
 
 
-def _candidates(some: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """(a, b, gap): every pair of ``some`` (node, root, size, bag, words) of different classes that can be similar.
-
-    Pairs share one of their rare words (see ``rare_words``). A word's texts of its most frequent class are one side,
-    all others the other; both are cut into blocks of some ``block`` texts and each pair of blocks is compared in
-    memory, so that a word of many texts is many tasks' work. Bags that are too far apart end a pair there.
-    """
-    spread = _word_spread(some)
+def _by_rare_pairs(some: DataFrame, least: float) -> DataFrame:
+    """(place, node, root) of the rare word pairs of ``some`` (node, root, words); see ``rare_pairs``."""
+    spread = _pair_spread(some)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rare_words(np.frombuffer(v.as_buffer(), "<u4"), spread, least) for v in batch.column(2)]
+            found = [rare_pairs(np.frombuffer(v.as_buffer(), "<u4"), spread, least) for v in batch.column(2)]
             of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), *(pa.array(batch.column(i).to_numpy()[of]) for i in (0, 1))], names=["word", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), *(pa.array(batch.column(i).to_numpy()[of]) for i in (0, 1))], names=["place", "node", "root"])
+
+    return some.select("node", "root", "words").mapInArrow(rare, "place long, node long, root long")
+
+
+def _candidates(pairs_of: DataFrame, buckets_of: DataFrame, some: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(a, b, gap): the pairs of ``some`` (node, root, size, bag) of different classes that share a place and can be
+    similar by their lengths and bags. Places are (place, node, root): rare pairs, of any number of texts, and buckets
+    of at most ``LARGE``, which are compared as they are.
+
+    A place's texts of its most frequent class are one side, all others the other; both are cut into blocks of some
+    ``block`` texts and each pair of blocks is compared in memory, so that a place of many texts is many tasks' work.
+    """
 
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
         groups, nodes, roots, sizes, bags = columns
@@ -250,27 +272,28 @@ def _candidates(some: DataFrame, least: float, block: int = 1024) -> DataFrame:
         if held:
             yield pairs(held)
 
-    words = written(some.select("node", "root", "words").mapInArrow(rare, "word long, node long, root long"), "rare")
-    by_root = words.groupBy("word", "root").agg(F.count("*").alias("n"))
-    groups = by_root.groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    places = written(pairs_of, "places")
+    by_root = places.groupBy("place", "root").agg(F.count("*").alias("n"))
+    groups = by_root.groupBy("place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     cut = lambda n: F.ceil(n / block).cast("int")
-    groups = written(groups.select("word", F.col("most.root").alias("main"), cut(F.col("most.n")).alias("t_main"), cut(F.col("n") - F.col("most.n")).alias("t_rest")), "groups")
-    rows = words.join(groups, "word")
+    groups = written(groups.select("place", F.col("most.root").alias("main"), cut(F.col("most.n")).alias("t_main"), cut(F.col("n") - F.col("most.n")).alias("t_rest")), "groups")
+    rows = places.join(groups, "place")
     salt = F.xxhash64("node")
     main, rest = F.pmod(salt, F.col("t_main")).cast("int"), F.pmod(salt, F.col("t_rest")).cast("int")
     number = lambda kind, x, y: F.lit(kind) * (1 << 60) + x.cast("long") * (1 << 30) + y
     every = lambda t, of: F.transform(F.sequence(F.lit(0), F.col(t) - 1), of)
     across = F.when(F.col("root") == F.col("main"), every("t_rest", lambda j: number(1, main, j))).otherwise(every("t_main", lambda j: number(1, j, rest)))
     inside = F.when((F.col("root") != F.col("main")) & (F.col("t_rest") > 1), every("t_rest", lambda j: number(0, F.least(rest, j), F.greatest(rest, j)))).otherwise(F.array().cast("array<bigint>"))
-    dealt = rows.select("word", "node", "root", F.explode(F.concat(across, inside)).alias("part")).join(some.select("node", "size", "bag"), "node")
-    found = dealt.select("word", "part", "node", "root", "size", "bag").repartition("word", "part").sortWithinPartitions("word", "part", "size").mapInArrow(run, "a long, b long, gap long")
+    dealt = rows.select("place", "node", "root", F.explode(F.concat(across, inside)).alias("part"))
+    dealt = dealt.unionByName(buckets_of.select("place", "node", "root", F.lit(-1).cast("long").alias("part"))).join(some.select("node", "size", "bag"), "node")
+    found = dealt.select("place", "part", "node", "root", "size", "bag").repartition("place", "part").sortWithinPartitions("place", "part", "size").mapInArrow(run, "a long, b long, gap long")
     out = written(found.groupBy("a", "b").agg(F.min("gap").alias("gap")), "candidates")
-    discard(words, groups)
+    discard(places, groups)
     return out
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(pivot, node, similarity) of the pairs, 0 where it is under ``least``; written."""
+def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame | None:
+    """(pivot, node, similarity) of the pairs, 0 where it is under ``least``; written. None if there are no pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +306,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["pivot", "node", "similarity"])
 
     pairs = written(pairs, "pairs")
+    if not (rows := pairs.count()):
+        return None
     ids = pairs.select("node").union(pairs.select("pivot")).distinct()
-    texts = _semi(nodes.select("node", "words"), ids, 2 * pairs.count())
+    texts = _semi(nodes.select("node", "words"), ids, 2 * rows)
     a, b = texts.select(F.col("node").alias("pivot"), F.col("words").alias("a")), texts.select("node", F.col("words").alias("b"))
     both = pairs.join(b, "node").join(a, "pivot").select("pivot", "node", "a", "b")
     out = written(both.mapInArrow(run, "pivot long, node long, similarity double"), "tried")
@@ -298,38 +323,55 @@ def components(links: DataFrame, tag: str = "stars") -> DataFrame:
     Large-star and small-star steps. A step's minima are written apart from their join, whose hot nodes AQE can then
     split (or which broadcasts them while they are few)."""
     edges = written(links.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), tag)
-    mark = None
     while True:
+        # Stars are what is wanted: no node with two neighbours, or with a neighbour and a member of its own.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+        if not ends.groupBy("x").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 or u + v > 1").head(1):
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._quern_path = edges._quern_path
+            return out
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), tag)
         first = written(large.where("v < u").groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.where("v < u").join(first, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         new = written(small, tag)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         discard(edges, least, large, first)
         edges = new
-        if tuple(now) == mark:
-            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out._quern_path = edges._quern_path
-            return out
-        mark = tuple(now)
+
+
+def _with_links(roots: DataFrame, tried: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Roots and tried pairs with those of ``new``; what they replace is deleted."""
+    links = new.where("similarity > 0").select("pivot", "node")
+    if links.head(1):
+        old, roots = roots, components(roots.select(F.col("root").alias("pivot"), "node").unionByName(links))
+        discard(old)
+    both = written(tried.unionByName(new), "tried")
+    discard(tried, new)
+    return roots, both
 
 
 def _linked(nodes: DataFrame, functions_of: DataFrame, least: float, short: int) -> DataFrame:
     """(node, root) of the texts that links connect; see ``classes``."""
     shared = _shared(functions_of.select("node", F.explode("sketch").alias("bucket")))
     tried = _verified(_linear(shared), nodes, least)
+    if tried is None:
+        tried = written(nodes.sparkSession.createDataFrame([], "pivot long, node long, similarity double"), "tried")
     roots = components(tried.where("similarity > 0").select("pivot", "node"))
-    chosen = nodes.where((F.col("size") > 0) & (F.col("size") < short / least)).select("node").union(_mixed_members(shared, roots)).distinct()
-    chosen = written(chosen, "chosen")
-    if not (n := chosen.count()):
-        discard(shared, tried, chosen)
+    mixed = _mixed_rows(shared, roots)
+    discard(shared)
+    # Members of large buckets and short texts are searched by rare pairs, those of other buckets by bucket.
+    by_pair = written(nodes.where((F.col("size") > 0) & (F.col("size") < short / least)).select("node").union(mixed.where(F.col("n") > LARGE).select("node")).distinct(), "chosen")
+    by_bucket = mixed.where(F.col("n") <= LARGE)
+    every = written(by_pair.union(by_bucket.select("node")).distinct(), "chosen")
+    if not (n := every.count()):
+        discard(tried, mixed, by_pair, every)
         return roots
-    known = _semi(nodes.select("node", "size", "bag", "words"), chosen, n).join(roots, "node", "left")
+    known = _semi(nodes.select("node", "size", "bag", "words"), every, n).join(roots, "node", "left")
     some = written(known.select("node", F.coalesce("root", "node").alias("root"), "size", "bag", "words"), "some")
-    left = _candidates(some, least)
-    discard(shared, chosen, some)
+    of_bucket = by_bucket.join(roots, "node", "left").select(F.col("bucket").alias("place"), "node", F.coalesce("root", "node").alias("root"))
+    left = _candidates(_by_rare_pairs(_semi(some, by_pair, n), least), of_bucket, some, least)
+    discard(mixed, by_pair, every, some)
     # Two classes need one link: their nearest pairs first, a few and then more, at last all that are left.
     for slots in (4, 64, 0):
         rest = left.join(tried.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
@@ -340,16 +382,9 @@ def _linked(nodes: DataFrame, functions_of: DataFrame, least: float, short: int)
             one = [F.least("ra", "rb"), F.greatest("ra", "rb"), F.pmod(F.xxhash64("a", "b"), F.lit(slots))]
             rest = rest.groupBy(*one).agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("x.a", "x.b")
         new = _verified(rest.select(F.col("a").alias("pivot"), F.col("b").alias("node")), nodes, least)
-        links = new.where("similarity > 0").select("pivot", "node")
-        more = new.count()
-        if more:
-            old, roots = roots, components(roots.select(F.col("root").alias("pivot"), "node").unionByName(links))
-            both = written(tried.unionByName(new), "tried")
-            discard(old, tried)
-            tried = both
-        discard(new)
-        if not more:
+        if new is None:
             break
+        roots, tried = _with_links(roots, tried, new)
     discard(tried, left)
     return roots
 

@@ -201,18 +201,18 @@ def test_short_texts_link_without_common_shingles(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 12), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.integers(0, 2), st.integers(0, 12)), max_size=8), st.randoms())
-def test_similar_texts_share_a_rare_word(a, edits, rng):
+def test_similar_texts_share_a_rare_pair(a, edits, rng):
     b = list(a)
     for at, kind, x in edits:
         at %= len(b) + 1
         b[at : at + (kind != 1)] = [] if kind == 0 else [x]
     spread = np.array([rng.randrange(5) for _ in range(8)])
-    x, y = (N.rare_words(np.array(w, np.uint32), spread, 0.8) for w in (a, b or [99]))
+    x, y = (N.rare_pairs(np.array(w, np.uint32), spread, 0.8) for w in (a, b or [99]))
     assert not N.similarity(a, b) or set(x.tolist()) & set(y.tolist())
 
 
 def test_candidates_in_blocks(spark):
-    """Every pair of two classes within reach is found once, however the groups of a word are cut."""
+    """Every pair of two classes within reach is found once, however the texts of a place are cut."""
     rng = random.Random(6)
     common = [rng.getrandbits(32) for _ in range(30)]
     rows = []
@@ -228,7 +228,7 @@ def test_candidates_in_blocks(spark):
             if len(N.within_reach(np.array([x[1], y[1]]), np.array([x[2], y[2]]), bags, 0.8)[0]):
                 wanted.add((min(a[0], b[0]), max(a[0], b[0])))
     for block in (3, 1000):
-        found = [(r.a, r.b) for r in N._candidates(df, 0.8, block).collect()]
+        found = [(r.a, r.b) for r in N._candidates(N._by_rare_pairs(df, 0.8), spark.createDataFrame([], "place long, node long, root long"), df, 0.8, block).collect()]
         similar = {(i, j) for i, j in wanted if N.similarity(*(np.frombuffer(rows[k][4], "<u4").tolist() for k in (i, j)))}
         assert len(found) == len(set(found)) and similar <= set(found) <= wanted
 
