@@ -2,10 +2,12 @@
 
     <path>/_dataset.json      schema or its hash, rows, stripes, options
     <path>/data/stripe_id=K/  the rows of stripe K with their position ``_row_pos``
-    <path>/stats/             one row per stripe, see operators.statistics
+    <path>/stats/first=K/     one row per stripe from K on that was written at once, see operators.statistics
+    <path>/counts/first=K/    the rows of each such stripe, where they were appended
 
-Stripes are runs of the input's order. Writing shuffles nothing: tasks know their first position from the counts of
-the tasks before, and put each row into its stripe's folder.
+Stripes are runs of the input's order. Writing rows shuffles nothing: tasks know their first position from the counts
+of the tasks before, and put each row into its stripe's folder. The head is the last thing written, and says how many
+stripes there are: folders beyond belong to an append that goes on or broke off, and no reader looks at them.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ LOCAL_BYTES = 8 << 20
 
 
 def _repeats(plan: Any) -> bool:
-    """Whether a plan gives the same rows in the same tasks each time it runs: projections of files or local rows."""
-    return C.kind(plan) in ("LogicalRelation", "LocalRelation", "LogicalRDD") or (C.kind(plan) in ("Project", "Filter") and all(_repeats(c) for c in C.children(plan)))
+    """Whether a plan gives the same rows in the same tasks each time it runs: deterministic projections and filters of
+    files or local rows."""
+    if C.kind(plan) in ("LogicalRelation", "LocalRelation"):
+        return True
+    return C.kind(plan) in ("Project", "Filter") and all(e.deterministic() for e in C.seq(plan.expressions())) and all(_repeats(c) for c in C.children(plan))
 
 
 def positioned(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
@@ -49,7 +54,7 @@ def positioned(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         df = df.orderBy(*order_by)
     spark = df.sparkSession
     marked = df.withColumn("_at", F.monotonically_increasing_id())
-    if not _repeats(C.optimised(df)):  # a shuffle may deal otherwise when it runs again: keep what it dealt
+    if not _repeats(C.optimised(df)):  # another run may deal otherwise: keep what this one dealt
         marked = written(marked, "dealt")
     task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = marked.select(task.alias("_task")).groupBy("_task").count().orderBy("_task").collect()  # one row per task
@@ -111,14 +116,16 @@ class Dataset:
         return T.StructType([*self.fields, T.StructField(POS, T.LongType()), T.StructField(STRIPE, T.LongType())])
 
     def frame(self, stripes: list[int] | None = None, positions: bool = False) -> DataFrame:
-        """The rows of the given stripes (of all where none are given). Other stripes' folders aren't listed."""
+        """The rows of the given stripes (of all that the head counts where none are given). Other stripes' folders
+        aren't read, and no files at all where there is no stripe to read."""
         columns = [F.col(f"`{n}`") for n in self.schema.names] + ([F.col(POS), F.col(STRIPE)] if positions else [])
         kept = range(self.n_stripes) if stripes is None else stripes
         if self.n_rows == 0 or not len(kept):
-            return self.spark.createDataFrame([], self._stored).select(columns)
+            nothing = self.spark.range(1).where(F.lit(False))  # an empty local relation to the optimiser
+            return nothing.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self._stored)).select(columns)
         reader = self.spark.read.schema(self._stored)
         if stripes is None:
-            return reader.parquet(f"{self.path}/data").select(columns)
+            return reader.parquet(f"{self.path}/data").where(F.col(STRIPE) < self.n_stripes).select(columns)
         return reader.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/{STRIPE}={k}" for k in kept)).select(columns)
 
     def stripe(self, k: int, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -161,17 +168,19 @@ class Dataset:
     def stats(self) -> DataFrame | None:
         """The manifest, one row per stripe, or nothing for datasets without statistics."""
         if self._manifest is None and self.options.get("stats"):
-            table = self.spark.read.parquet(f"{self.path}/stats")
+            table = _part_rows(self.spark, f"{self.path}/stats", self.n_stripes)
             if Files(self.spark).size(f"{self.path}/stats") <= LOCAL_BYTES:
                 table = self.spark.createDataFrame(table.toArrow(), table.schema)
             self._manifest = table
         return self._manifest
 
     def stripe_row_counts(self) -> list[int]:
-        if counts := self.options.get("counts"):  # stripes were appended
-            return list(counts)
-        size = self.options.get("stripe_rows") or self.n_rows
-        return [min(size, self.n_rows - k * size) for k in range(self.n_stripes)] if self.n_rows else [0]
+        size, base = self.options.get("stripe_rows") or self.n_rows, self.options.get("written", [self.n_rows, self.n_stripes])
+        counts = [min(size, base[0] - k * size) for k in range(base[1])] if base[0] else [0] * base[1]
+        if self.n_stripes > base[1]:  # stripes were appended; one number each
+            added = _part_rows(self.spark, f"{self.path}/counts", self.n_stripes).collect()
+            counts = counts[: base[1]] + [n for _, n in sorted((r[STRIPE], r["n"]) for r in added)]
+        return counts
 
     def column_stats(self, stripe: int, name: str) -> dict | None:
         """Bounds and counts of one leaf in one stripe."""
@@ -232,17 +241,17 @@ class Dataset:
 
     def append(self, df: DataFrame, mark: Any = None) -> Dataset:
         """Adds the rows of ``df`` as stripes after the last, as many rows each as the dataset's stripes have (one
-        stripe for datasets of one). Nothing that is written changes; readers see the new stripes when the head is
-        renamed into place, and files of an append that broke off belong to no stripe. ``mark`` is kept in the head."""
+        stripe for datasets of one). Nothing that is written changes and its cost is that of the new rows; readers see
+        the new stripes and their statistics when the head is renamed into place, and what an append that broke off
+        left belongs to no stripe and is replaced by the next one. ``mark`` is kept in the head. One append at a time."""
         if df.columns != self.schema.names:
             raise SchemaError(f"the dataset's columns {self.schema.names} aren't the frame's {df.columns}")
-        size, counts = self.options.get("stripe_rows"), self.stripe_row_counts() if self.n_rows else []
-        batch = f"{self.path}/_append"
+        size, first = self.options.get("stripe_rows"), self.n_stripes if self.n_rows else 0
+        batch, files = f"{self.path}/_append", Files(self.spark)
         placed = positioned(df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.fields)))
-        stripe = F.lit(len(counts)) + (F.floor(F.col(POS) / size) if size else F.lit(0))
+        stripe = F.lit(first) + (F.floor(F.col(POS) / size) if size else F.lit(0))
         rows = placed.withColumn(STRIPE, stripe.cast("long")).withColumn(POS, F.col(POS) + self.n_rows)
         rows.write.mode("overwrite").option("compression", "zstd").partitionBy(STRIPE).parquet(batch)
-        files = Files(self.spark)
         new = sorted(int(n.split("=")[1]) for n in files.names(batch) if n.startswith(f"{STRIPE}="))
         for k in new:
             files.delete(f"{self.path}/data/{STRIPE}={k}")
@@ -253,22 +262,14 @@ class Dataset:
             return _finish(self.spark, self.path, self.schema, self.n_rows, self.n_stripes, options, None, self.schema_hash)
         stored = self.spark.read.schema(self._stored).option("basePath", f"{self.path}/data")
         added = stored.parquet(*(f"{self.path}/data/{STRIPE}={k}" for k in new))
-        more = {r[STRIPE]: r["n"] for r in added.groupBy(STRIPE).agg(F.count("*").alias("n")).collect()}  # one row per new stripe
         if self.options.get("stats") or not self.n_rows:
-            table = S.stripe_bounds(added, self.fields, POS)
             options["stats"] = True
-            if self.options.get("filters") or not self.n_rows:
-                table = S.with_filters(table, S.stripe_filters(added, self.fields), len(self.leaves))
-                options["filters"] = True
-            if self.n_rows:  # rows of stripes that a broken append left are replaced
-                old = self.stats().where(F.col(STRIPE) < len(counts))
-                table = old.unionByName(table)
-            files.delete(f"{self.path}/_stats")
-            table.sortWithinPartitions(STRIPE).write.parquet(f"{self.path}/_stats")
-            files.delete(f"{self.path}/stats")
-            files.move(f"{self.path}/_stats", f"{self.path}/stats")
-        options["counts"] = counts + [more[k] for k in new]
-        return _finish(self.spark, self.path, self.schema, self.n_rows + sum(more.values()), len(options["counts"]), options, None, self.schema_hash)
+            options["filters"] = bool(self.options.get("filters") or not self.n_rows)
+            _statistics(added, self.fields, options["filters"]).write.mode("overwrite").parquet(f"{self.path}/stats/first={first}")
+        added.groupBy(STRIPE).agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/first={first}")
+        more = self.spark.read.parquet(f"{self.path}/counts/first={first}").agg(F.sum("n")).first()[0]
+        options.setdefault("written", [self.n_rows, first])
+        return _finish(self.spark, self.path, self.schema, self.n_rows + more, first + len(new), options, None, self.schema_hash)
 
     # -- column slice
 
@@ -283,10 +284,26 @@ class Dataset:
         if table is not None:
             new = [p for p, _ in S.leaves(schema.to_spark())]
             kinds = ["s", "f"] if self.options.get("filters") else ["s"]
-            table.select(STRIPE, "n_rows", *(F.col(f"{k}{old.index(p)}").alias(f"{k}{i}") for i, p in enumerate(new) for k in kinds)).write.mode("overwrite").parquet(f"{path}/stats")
+            table.select(STRIPE, "n_rows", *(F.col(f"{k}{old.index(p)}").alias(f"{k}{i}") for i, p in enumerate(new) for k in kinds)).write.mode("overwrite").parquet(f"{path}/stats/first=0")
+        if self.n_stripes > self.options.get("written", [0, self.n_stripes])[1]:
+            _part_rows(self.spark, f"{self.path}/counts", self.n_stripes).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/first=0")
         return _finish(self.spark, path, schema, self.n_rows, self.n_stripes, self.options, None)
 
 
+def _part_rows(spark: SparkSession, path: str, n_stripes: int) -> DataFrame:
+    """The rows of a folder of parts ``first=K`` that belong to the first ``n_stripes`` stripes."""
+    parts = sorted(int(n.split("=")[1]) for n in Files(spark).names(path) if n.startswith("first="))
+    return spark.read.parquet(*(f"{path}/first={k}" for k in parts if k < n_stripes))
+
+
+def _statistics(rows: DataFrame, fields: T.StructType, filters: bool) -> DataFrame:
+    """The manifest rows of stripes, sorted by stripe, so that a stripe's row is found by its bounds."""
+    table = S.stripe_bounds(rows, fields, POS)
+    if filters:
+        table = S.with_filters(table, S.stripe_filters(rows, fields), len(S.leaves(fields)))
+    return table.sortWithinPartitions(STRIPE)
+
+
 def write(df: DataFrame, path: str, stripe_rows: int | None = None, schema: Schema | None = None, stats: bool = True, filters: bool = True, catalog: Catalog | None = None, order_by: list[str] | None = None, overwrite: bool = True) -> Dataset:
     """Writes ``df`` as a dataset; with a ``catalog`` the schema goes there and the dataset names its hash.
 
@@ -312,12 +329,8 @@ def write(df: DataFrame, path: str, stripe_rows: int | None = None, schema: Sche
     if has_rows:
         rows = data.parquet(f"{path}/data")
         if stats:
-            table = S.stripe_bounds(rows, schema.to_spark(), POS)
-            if filters:
-                table = S.with_filters(table, S.stripe_filters(rows, schema.to_spark()), len(S.leaves(schema.to_spark())))
-            # Read back one column set at a time: sorted by stripe, so that a stripe's row is found by its bounds.
-            table.sortWithinPartitions(STRIPE).write.parquet(f"{path}/stats")
-            n_rows = spark.read.parquet(f"{path}/stats").agg(F.sum("n_rows")).first()[0]
+            _statistics(rows, schema.to_spark(), filters).write.parquet(f"{path}/stats/first=0")
+            n_rows = spark.read.parquet(f"{path}/stats/first=0").agg(F.sum("n_rows")).first()[0]
         else:
             n_rows = rows.count()
     n_stripes = max(1, -(-n_rows // stripe_rows)) if stripe_rows else 1

@@ -5,7 +5,8 @@ characters, which keeps a lower bound and drops the upper one; floats' bounds ar
 others occur. What is not exact says so, and nothing that isn't exact answers a query by itself.
 
 Membership filters keep 64-bit hashes of the values: all of them up to ``SET_LIMIT`` distinct ones, a Bloom filter
-beyond. Both are built from distinct (stripe, leaf, hash) rows, combined before the shuffle.
+beyond. Both are built from distinct (stripe, leaf, hash) rows, combined before the shuffle. A leaf of so many distinct
+values in each stripe that the largest filter would say nothing has none, and its values aren't shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from quern.schema import Schema
 TEXT_CUT = 256
 SET_LIMIT = 256
 BLOOM_RATE, BLOOM_MAX_BITS, BLOOM_MAX_PROBES = 0.01, 64 * 1024 * 8, 30
+#: At four bits a value a filter lets one in seven pass.
+BLOOM_MAX_VALUES = BLOOM_MAX_BITS // 4
 _PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
 
@@ -101,8 +104,12 @@ def bloom_positions(h: Column, bits: Column, probes: Column) -> Column:
 def stripe_filters(data: DataFrame, schema: T.StructType, by: str = "stripe_id") -> DataFrame:
     """(stripe, leaf, n, hashes, bits, probes, words): ``hashes`` of all values where there are at most SET_LIMIT
     distinct ones, else the Bloom filter's 64-bit words as (place, word). Decimals have filters like all scalars."""
-    found = leaves(schema)
-    pairs = F.array(*(F.struct(F.lit(i).alias("leaf"), F.when(path_column(p).isNotNull(), value_hash(path_column(p), t)).alias("h")) for i, (p, t) in enumerate(found)))
+    found = list(enumerate(leaves(schema)))
+    if found:
+        least = data.groupBy(by).agg(*(F.approx_count_distinct(path_column(p)).alias(f"n{i}") for i, (p, _) in found))
+        least = least.agg(*(F.min(f"n{i}").alias(f"n{i}") for i, _ in found)).first()  # one number per leaf
+        found = [(i, x) for i, x in found if (least[f"n{i}"] or 0) <= BLOOM_MAX_VALUES]
+    pairs = F.array(*(F.struct(F.lit(i).alias("leaf"), F.when(path_column(p).isNotNull(), value_hash(path_column(p), t)).alias("h")) for i, (p, t) in found)) if found else F.array().cast("array<struct<leaf:int,h:bigint>>")
     distinct = data.select(by, F.explode(pairs).alias("x")).select(by, "x.leaf", "x.h").where("h is not null").distinct()
     counts = distinct.groupBy(by, "leaf").agg(F.count("*").alias("n"))
     # A set holds at most SET_LIMIT hashes, so only those are ever collected.
@@ -137,18 +144,15 @@ def with_filters(bounds: DataFrame, filters: DataFrame, n_leaves: int, by: str =
 def merged(stats: DataFrame, schema: T.StructType) -> DataFrame:
     """Statistics of the whole dataset, one row per leaf: n, nulls, lo, hi as text, and whether they are exact.
 
-    All or nothing: one stripe without a bound leaves the whole without it.
+    All or nothing: one stripe without a bound leaves the whole without it. One pass over the manifest.
     """
-    found = leaves(schema)
-    parts = []
-    for i, (path, _) in enumerate(found):
+    rows = []
+    for i, (path, _) in enumerate(leaves(schema)):
         s = F.col(f"s{i}")
         bad_lo, bad_hi = F.max(~s["lo_exact"]), F.max(~s["hi_exact"])
-        parts.append(stats.agg(F.lit(path).alias("leaf"), F.sum(s["n"]).alias("n"), F.sum(s["nulls"]).alias("nulls"), F.min(s["lo"]).cast("string").alias("lo"), F.when(F.max((s["hi"].isNull() & (s["nulls"] < s["n"])).cast("int")) == 1, None).otherwise(F.max(s["hi"])).cast("string").alias("hi"), (~F.coalesce(bad_lo, F.lit(True))).alias("lo_exact"), (~F.coalesce(bad_hi, F.lit(True))).alias("hi_exact")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        unknown = F.max((s["hi"].isNull() & (s["nulls"] < s["n"])).cast("int")) == 1
+        rows.append(F.struct(F.lit(path).alias("leaf"), F.sum(s["n"]).alias("n"), F.sum(s["nulls"]).alias("nulls"), F.min(s["lo"]).cast("string").alias("lo"), F.when(unknown, None).otherwise(F.max(s["hi"])).cast("string").alias("hi"), (~F.coalesce(bad_lo, F.lit(True))).alias("lo_exact"), (~F.coalesce(bad_hi, F.lit(True))).alias("hi_exact")))
+    return stats.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def logical_leaves(schema: Schema) -> list[str]:

@@ -44,6 +44,11 @@ def attribute(e: Any) -> str | None:
     return None
 
 
+def only_about(condition: Any, name: str) -> bool:
+    """Whether a condition refers to the column ``name`` and to no other."""
+    return {x.name() for x in seq(condition.references().toSeq())} == {name}
+
+
 def filters(plan: Any) -> list[tuple[Any, list[Any]]]:
     """(relation, conditions that all its rows must meet) of each file relation in a plan."""
     out: list[tuple[Any, list[Any]]] = []

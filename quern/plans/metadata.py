@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.dataset import Dataset
+from quern.dataset import STRIPE, Dataset
 from quern.plans import catalyst as C
 
 
@@ -31,7 +31,7 @@ def answer(plan: Any, datasets: dict[str, Dataset]) -> DataFrame | None:
     if C.kind(plan) != "Aggregate" or plan.groupingExpressions().size():
         return None
     relation = plan.child()
-    while C.kind(relation) == "Project" and all(C.attribute(x) for x in C.seq(relation.projectList())):
+    while (C.kind(relation) == "Project" and all(C.attribute(x) for x in C.seq(relation.projectList()))) or (C.kind(relation) == "Filter" and C.only_about(relation.condition(), STRIPE)):
         relation = relation.child()
     at = C.roots(relation)
     dataset = datasets.get(C.plain(at[0])) if len(at) == 1 else None

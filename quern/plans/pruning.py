@@ -6,6 +6,8 @@ never too little: what isn't understood keeps all, and Spark filters the rows ag
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column
@@ -95,8 +97,9 @@ class Planner:
 
 def kept_stripes(dataset: Dataset, conditions: list[Any]) -> list[int]:
     """Stripes that may hold a row meeting all conditions (Catalyst expressions over the dataset's columns)."""
-    table = dataset.stats()
-    if table is None or not conditions:
+    conditions = [c for c in conditions if not C.only_about(c, STRIPE)]  # a whole dataset has one on its stripes
+    table = dataset.stats() if conditions else None
+    if table is None:
         return list(range(dataset.n_stripes))
     planner = Planner(dataset)
     keep = F.lit(True)
@@ -126,9 +129,20 @@ def keep_mask(dataset: Dataset, predicate: str) -> list[bool]:
 
 
 def scan(dataset: Dataset, columns: list[str] | None = None, predicate: str | None = None, limit: int | None = None):
-    """Projection, filter and limit over the stripes that can match."""
-    df = dataset.frame(prune(dataset, predicate) if predicate else None)
-    df = df.where(predicate) if predicate else df
+    """Projection, filter and limit over the stripes that can match.
+
+    Without a predicate, no column needs no file (the head knows how many rows there are), and a limit needs the first
+    stripes only that hold as many rows.
+    """
+    if predicate is None and columns == []:
+        n = dataset.n_rows if limit is None else min(limit, dataset.n_rows)
+        return dataset.spark.range(n).select()
+    kept = prune(dataset, predicate) if predicate else None
+    if predicate is None and limit is not None:
+        ends = list(accumulate(dataset.stripe_row_counts()))
+        kept = list(range(min(dataset.n_stripes, bisect_left(ends, limit) + 1)))
+    df = dataset.frame(kept)
+    df = df.where(predicate) if predicate and kept else df
     if columns is not None:
         df = df.select(*(F.col(f"`{c}`") for c in dataset.schema.project(columns).names)) if columns else df.select()
     return df if limit is None else df.limit(limit)

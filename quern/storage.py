@@ -34,16 +34,21 @@ class Files:
             raise OSError(f"can't move {path} to {to}")
 
     def write(self, path: str, data: bytes) -> None:
-        """Written under another name and renamed, so that readers see all or nothing."""
+        """Written under another name and renamed over what is there, so that readers see the old bytes or the new."""
         fs, p = self._at(path)
         _, t = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
-        out = fs.create(t, True)
-        out.write(bytearray(data))
-        out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(t, p):
-            raise OSError(f"can't rename to {path}")
+        fs.setWriteChecksum(False)  # a checksum file of its own could not be replaced together with it
+        try:
+            out = fs.create(t, True)
+            out.write(bytearray(data))
+            out.close()
+        finally:
+            fs.setWriteChecksum(True)
+        if not fs.rename(t, p):  # local files are replaced by a plain rename, others on demand
+            kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+            how = self.spark.sparkContext._gateway.new_array(kind, 1)
+            how[0] = kind.OVERWRITE
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(t, p, how)
 
     def read(self, path: str) -> bytes:
         fs, p = self._at(path)
