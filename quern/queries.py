@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern import sinks, sources
 from quern.catalog import Catalog
@@ -58,13 +60,21 @@ def dataset(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
     return _MADE[at]
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def session(spark: SparkSession, sf_dir: str, sql: str = "") -> Session:
-    """A session with views of the tables that the text names, datasets where the table has one here."""
-    s = Session(spark)
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
-        if name in sql:
-            s.spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return s
+    """A session with the tables that the text names: datasets where the table has one here, else views of files."""
+    names = tuple(n for n in TABLES if re.search(rf"\b{n}\b", sql))
+    at = (spark.sparkContext.applicationId, sf_dir, "all", names)
+    if at not in _OPEN:
+        _OPEN[at] = s = Session(spark)
+        for name in names:
+            if name in ROWS:
+                s.register(name, dataset(spark, sf_dir, name).path)
+            else:
+                s.spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return _OPEN[at]
 
 
 def striped(spark: SparkSession, sf_dir: str, *names: str) -> Session:
@@ -515,3 +525,257 @@ def _(spark, sf):
     return out.unionByName(rest).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
 
 
+
+
+# -- joins, windows and functions beside the common ones
+
+same("join_right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 400000")
+same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+same("join_range", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND b.n_nationkey <= a.n_nationkey + 3")
+same("functions_json", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+same("functions_split", "SELECT p_partkey, split_part(p_type, ' ', 2) AS s, CAST(instr(p_type, 'E') AS BIGINT) AS i, translate(p_type, 'AE', 'xy') AS t FROM part", "SELECT p_partkey, split_part(p_type, ' ', 2) AS s, CAST(instr(p_type, 'E') AS BIGINT) AS i, translate(p_type, 'AE', 'xy') AS t FROM part")
+same("functions_dates", "SELECT o_orderkey, CAST(date_add(CAST(o_orderdate AS DATE), 30) AS STRING) AS a, date_format(o_orderdate, 'yyyy-MM-dd') AS f, CAST(to_timestamp('2024-02-29 01:02:03') AS STRING) AS d FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS a, strftime(o_orderdate, '%Y-%m-%d') AS f, '2024-02-29 01:02:03' AS d FROM orders")
+same("functions_regexp_like", "SELECT p_partkey, p_type RLIKE '^[A-M].*S$' AS m, CAST(regexp_count(p_type, '[AEIOU]') AS BIGINT) AS n FROM part", "SELECT p_partkey, regexp_matches(p_type, '^[A-M].*S$') AS m, CAST(len(regexp_extract_all(p_type, '[AEIOU]')) AS BIGINT) AS n FROM part")
+same("functions_sha1", "SELECT n_nationkey, sha1(n_name) AS s, CAST(unbase64(base64(CAST(n_name AS BINARY))) AS STRING) AS b, CAST(unhex(hex(CAST(n_name AS BINARY))) AS STRING) AS h FROM nation", "SELECT n_nationkey, sha1(n_name) AS s, decode(from_base64(base64(encode(n_name)))) AS b, decode(unhex(hex(encode(n_name)))) AS h FROM nation")
+
+
+@query("sliding_window", "SELECT s AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 30 MINUTE, ts)]) AS s FROM events) GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# -- appended stripes, limits, accessors
+
+
+@query("appended_stripes", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(spark, sf):
+    """A dataset made by one write and two appends."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    d = write(rows.where("o_orderkey % 3 = 0"), scratch(spark, "appended"), stripe_rows=1000)
+    for k in (1, 2):
+        d = d.append(rows.where(F.col("o_orderkey") % 3 == k))
+    return Dataset.open(spark, d.path).frame()
+
+
+@query("appended_stripes_pruned", "SELECT CAST(count(*) AS BIGINT) AS n, max(o_totalprice) AS hi FROM orders WHERE o_orderkey < 500")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    d = write(rows.where("o_orderkey < 500"), scratch(spark, "appended"), stripe_rows=1000)
+    d.append(rows.where("o_orderkey >= 500"))
+    s = Session(spark)
+    s.register("t", d.path)
+    return s.sql("SELECT count(*) AS n, max(o_totalprice) AS hi FROM t WHERE o_orderkey < 500")
+
+
+@query("limit_by_stripes", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) WHERE p <= 1000")
+def _(spark, sf):
+    return pruning.scan(dataset(spark, sf, "orders"), ["o_orderkey"], limit=1000)
+
+
+@query("limit_within_a_stripe", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) WHERE p <= 10")
+def _(spark, sf):
+    return dataset(spark, sf, "orders").stripe(0, ["o_orderkey"], limit=10)
+
+
+@query("keep_mask", "SELECT CAST((p - 1) // 1000 AS BIGINT) AS stripe_id, max(o_orderkey) > 600 AS kept FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) GROUP BY 1")
+def _(spark, sf):
+    return spark.createDataFrame(list(enumerate(pruning.keep_mask(dataset(spark, sf, "orders"), "o_orderkey > 600"))), "stripe_id long, kept boolean")
+
+
+@query("column_stats_accessor", "SELECT CAST((p - 1) // 500 AS BIGINT) AS stripe_id, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS nulls, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) GROUP BY 1 HAVING stripe_id < 3")
+def _(spark, sf):
+    d = dataset(spark, sf, "customer")
+    found = [(k, d.column_stats(k, "c_acctbal")) for k in range(min(3, d.n_stripes))]
+    return spark.createDataFrame([(k, s["n"], s["nulls"], s["lo"], s["hi"]) for k, s in found], "stripe_id long, n long, nulls long, lo double, hi double")
+
+
+@query("stripe_row_counts", "SELECT CAST((p - 1) // 500 AS BIGINT) AS stripe_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) GROUP BY 1")
+def _(spark, sf):
+    return spark.createDataFrame(list(enumerate(dataset(spark, sf, "customer").stripe_row_counts())), "stripe_id long, n long")
+
+
+@query("schema_projected", "SELECT n_regionkey, n_name FROM nation")
+def _(spark, sf):
+    d = write(table(spark, sf, "nation"), scratch(spark, "nation"))
+    return d.project_to(scratch(spark, "projected"), ["n_regionkey", "n_name"]).frame()
+
+
+@query("schema_by_hash", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, sf):
+    """A dataset whose schema lies in a catalog, found by its hash after the catalog was verified."""
+    catalog, path = Catalog(spark, scratch(spark, "catalog")), scratch(spark, "nation")
+    key = write(table(spark, sf, "nation"), path, catalog=catalog).schema_hash
+    found = Dataset.open(spark, path, catalog)
+    if catalog.resolve(key).hash() != key or catalog.list() != [key] or catalog.verify() or found.schema.hash() != key:
+        raise RuntimeError("the catalog holds another schema")
+    return found.frame()
+
+
+@query("flat_arrays", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, sf):
+    from quern import api
+
+    rows = table(spark, sf, "nation").toPandas()
+    path = scratch(spark, "arrays")
+    api.write_arrays(spark, path, {"n_nationkey": rows["n_nationkey"].to_numpy(), "n_name": rows["n_name"].tolist()})
+    back = api.read_arrays(spark, path)
+    return spark.createDataFrame([(int(a), b) for a, b in zip(back["n_nationkey"], back["n_name"], strict=True)], "n_nationkey int, n_name string")
+
+
+@query("arrow_write", "SELECT * FROM nation")
+def _(spark, sf):
+    from quern import api
+
+    path = scratch(spark, "arrow")
+    api.write_table(spark, path, table(spark, sf, "nation").toArrow(), stripe_rows=10)
+    return api.read_table(spark, path)
+
+
+@query("arrow_stripe_range", "SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) WHERE p > 10 AND p <= 20")
+def _(spark, sf):
+    from quern import api
+
+    path = scratch(spark, "arrow")
+    api.write_table(spark, path, table(spark, sf, "nation").orderBy("n_nationkey").toPandas(), stripe_rows=10)
+    return api.read_table(spark, path, ["n_nationkey", "n_name"], (1, 2))
+
+
+# -- coders: a column's pages encoded and decoded by executors
+
+
+def _coded(name: str, coders: list[str], table_name: str, column: str, kind: str, cast: str, wide: str | None = None) -> None:
+    """Every page of a column through a pipeline of coders and back. ``kind`` is the physical type, ``cast`` the type
+    that both engines name for the result."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        import numpy as np
+        import pyarrow as pa
+
+        from quern.coders.base import DTYPES
+        from quern.coders.codec import compress_with, decompress
+        from quern.types import Stage
+
+        stages = [Stage(c, {"width": 32}) if c == "bitpack_fixed" else Stage(c) for c in coders]
+
+        def through(batches):
+            for batch in batches:
+                x = batch.column(0).to_numpy(zero_copy_only=False).astype(DTYPES[kind]) if kind != "bytes" else "\n".join(batch.column(0).to_pylist()).encode()
+                back = decompress(compress_with(x if kind == "bytes" else np.ascontiguousarray(x), stages, kind))
+                yield pa.RecordBatch.from_arrays([pa.array(back.decode().split("\n") if kind == "bytes" else back).cast(batch.schema.field(0).type)], names=["v"])
+
+        rows = table(spark, sf, table_name).select(F.col(column).cast(wide or cast).alias("v"))
+        rows = rows.orderBy("v") if "elias_fano" in coders else rows
+        return rows.mapInArrow(through, rows.schema).select(F.col("v").cast(cast))
+
+    query(f"coder_{name}", f"SELECT CAST({column} AS {'VARCHAR' if cast == 'string' else cast}) AS v FROM {table_name}")(run)
+
+
+_coded("leb128", ["leb128"], "events", "user_id", "i64", "bigint")
+_coded("bitpack_fixed", ["bitpack_fixed", "zstd"], "orders", "o_custkey", "u32", "bigint")
+_coded("bitpack_auto", ["bitpack_auto", "zstd"], "lineitem", "l_linenumber", "u32", "int", "bigint")
+_coded("elias_fano", ["elias_fano"], "events", "event_id", "u32", "bigint")
+_coded("gorilla", ["gorilla", "zstd"], "events", "value", "f64", "double")
+_coded("for_bitpack", ["for_bitpack_zstd"], "orders", "o_totalprice", "f64", "double")
+_coded("zstd", ["zstd"], "customer", "c_name", "bytes", "string")
+_coded("lz4", ["lz4"], "customer", "c_name", "bytes", "string")
+_coded("snappy", ["snappy"], "customer", "c_name", "bytes", "string")
+_coded("default_numbers", ["delta", "leb128", "zstd"], "lineitem", "l_partkey", "i64", "bigint")
+_coded("delta_of_delta_pages", ["delta_of_delta", "leb128", "zstd"], "events", "event_id", "i64", "bigint")
+
+
+@query("coder_rle_round_trip", "SELECT CAST((p - 1) // 1000 AS BIGINT) AS stripe_id, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders)")
+def _(spark, sf):
+    d = dataset(spark, sf, "orders").frame(positions=True)
+    return X.unrle(X.rle(d, "o_orderstatus", [STRIPE], POS), [STRIPE], "o_orderstatus").select(STRIPE, "o_orderstatus")
+
+
+@query("coder_delta_of_delta_round_trip", "SELECT o_orderkey, o_custkey FROM orders")
+def _(spark, sf):
+    d = dataset(spark, sf, "orders").frame(positions=True)
+    return X.undelta_of_delta(X.delta_of_delta(d, "o_custkey", [STRIPE], POS), "o_custkey", [STRIPE], POS).select("o_orderkey", "o_custkey")
+
+
+# -- inference and typed reading of small files
+
+
+def _file(spark: SparkSession, name: str, text: str) -> str:
+    from quern.storage import Files
+
+    path = f"{scratch(spark, 'file')}/{name}"
+    Files(spark).write(path, text.encode())
+    return path
+
+
+@query("csv_null_tokens", "SELECT * FROM (VALUES (1, 1.5, 'x'), (NULL, NULL, NULL), (3, -2.0, 'y'), (NULL, 4.0, NULL)) t(i, f, s)", )
+def _(spark, sf):
+    df = sources.read(spark, _file(spark, "a.csv", "i,f,s\n1,1.5,x\nNULL,NA,null\n3,-2.0,y\n,4e0,\n"))
+    return df.select(F.col("i").cast("int").alias("i"), F.round("f", 1).cast("decimal(2,1)").alias("f"), "s")
+
+
+@query("csv_blank_lines", "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT)), ('b', 2)) t(k, v)")
+def _(spark, sf):
+    return sources.read(spark, _file(spark, "a.csv", "k,v\na,1\n\nb,2\n\n"))
+
+
+@query("csv_without_header", "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT)), ('b, c', 2), (chr(10), 3)) t(col_0, col_1)")
+def _(spark, sf):
+    return sources.read(spark, _file(spark, "a.csv", 'a,1\n"b, c",2\n"\n",3\n'), header=False)
+
+
+@query("csv_dates", "SELECT CAST(d AS VARCHAR) AS d, t FROM (VALUES (DATE '2024-02-29', TIMESTAMP '2024-02-29 12:30:00'), (DATE '1970-01-11', TIMESTAMP '1999-12-31 23:59:59.5')) x(d, t)")
+def _(spark, sf):
+    from quern.schema import Schema
+
+    kinds = T.StructType([T.StructField("d", T.DateType()), T.StructField("t", T.TimestampNTZType())])
+    return sources.read(spark, _file(spark, "a.csv", "d,t\n2024-02-29,2024-02-29 12:30:00\n10,1999-12-31T23:59:59.5\n"), schema=Schema.from_spark(kinds)).withColumn("d", F.col("d").cast("string"))
+
+
+@query("csv_sample_prefix", "SELECT * FROM (VALUES (CAST(0 AS BIGINT)), (1), (2)) t(x)")
+def _(spark, sf):
+    return sources.read(spark, _file(spark, "a.csv", "x\n" + "\n".join(map(str, range(50))) + "\n"), limit=3)
+
+
+@query("json_promotions", "SELECT * FROM (VALUES (CAST(1 AS DOUBLE), CAST(1 AS BIGINT), 'x'), (2.5, 7, NULL)) t(f, i, s)")
+def _(spark, sf):
+    return sources.read(spark, _file(spark, "a.ndjson", '{"f": 1, "i": true, "s": "x"}\n{"f": 2.5, "i": 7}\n'))
+
+
+@query("json_array_root", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, NULL)) t(a, b)")
+def _(spark, sf):
+    return sources.read(spark, _file(spark, "a.json", '[{"a": 1, "b": "a"},\n {"a": 2, "b": null}]'))
+
+
+@query("json_binary_as_hex", "SELECT * FROM (VALUES ('00ff'), ('6162')) t(h)")
+def _(spark, sf):
+    from quern.schema import Schema
+
+    df = sources.read(spark, _file(spark, "a.ndjson", '{"b": "00ff"}\n{"b": "6162"}\n'), schema=Schema.from_spark(T.StructType([T.StructField("b", T.BinaryType(), False)])))
+    return df.select(F.lower(F.hex("b")).alias("h"))
+
+
+@query("avsc_schema", "SELECT * FROM (VALUES ('id', 'bigint'), ('name', 'string'), ('score', 'double'), ('day', 'date')) t(name, type)")
+def _(spark, sf):
+    text = '{"type": "record", "name": "R", "fields": [{"name": "id", "type": "long"}, {"name": "name", "type": ["null", "string"]}, {"name": "score", "type": "double"}, {"name": "day", "type": {"type": "int", "logicalType": "date"}}]}'
+    schema = sources.infer(spark, _file(spark, "a.avsc", text))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema.to_spark()], "name string, type string")
+
+
+@query("stdout_table", "SELECT CAST(count(*) AS BIGINT) AS n FROM nation")
+def _(spark, sf):
+    """Rows of the printed table that name a nation."""
+    rows = table(spark, sf, "nation")
+    text = sinks.table_text(rows)
+    return spark.createDataFrame([(sum(text.count(r.n_name) > 0 for r in rows.collect()),)], "n long")
+
+
+@query("converted_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, sf):
+    """Parquet to a dataset, that to CSV, and that to a dataset again, as the command does."""
+    from quern import convert
+
+    folder = scratch(spark, "convert")
+    sinks.to_parquet(table(spark, sf, "nation"), f"{folder}/a.parquet")
+    convert.convert(spark, f"{folder}/a.parquet", f"{folder}/b")
+    convert.convert(spark, f"{folder}/b", f"{folder}/c.csv")
+    convert.convert(spark, f"{folder}/c.csv", f"{folder}/d", stripe_rows=10)
+    return Dataset.open(spark, f"{folder}/d").frame().select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
