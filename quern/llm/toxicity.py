@@ -29,6 +29,8 @@ from quern.llm.common import columns_for, rows_mapped
 
 SAMPLE, SAMPLE_BYTES, BUCKETS, DIMENSIONS, WINDOW, EPOCHS = 8192, 128 << 20, 1 << 18, 8, 12, 120
 GRAMS = (3, 4, 5)
+#: The rate that is assumed where nothing is labelled: such a model rejects nothing.
+PRIOR = 0.1
 #: Code points hashed at a time: bounds memory and keeps arrays in the processor's cache.
 CHUNK = 1 << 18
 _BORDER = 1
@@ -246,12 +248,13 @@ class Bags:
 
 
 def fit(bags: Bags, docs: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, window: int = WINDOW, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 3e-5, least_documents: int = 8, seed: int = 7) -> Model:
-    """Joint full-batch training of n-gram vectors and softmax by Adam. Without both labels: their base rate.
+    """Joint full-batch training of n-gram vectors and softmax by Adam. Without both labels: their base rate, with one
+    more row of label PRIOR.
 
     ``decay`` and ``least_documents`` keep the vectors of what few documents hold from learning those by heart.
     """
     buckets, y = bags.buckets, labels.astype(np.float32)
-    base = (y.sum() + 0.5) / (len(y) + 1)
+    base = (y.sum() + PRIOR) / (len(y) + 1)
     bias0 = float(np.log(base / (1 - base)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), bias0, window)
@@ -342,7 +345,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ke
 
 def trained(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES, **options) -> Model:
     """The model of a training sample, fitted in one task: of the rows in the order of their hash, whole texts until
-    they come to ``sample_bytes`` in UTF-8 (the first one in any case). An empty sample gives even odds."""
+    they come to ``sample_bytes`` in UTF-8 (the first one in any case). An empty sample gives ``PRIOR`` to all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: list[int] = []

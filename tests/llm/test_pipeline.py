@@ -19,7 +19,7 @@ def test_stages_against_their_operators(spark, sf):
             kept = spark.createDataFrame(out.collect(), docs.schema)
             results[name] = kept
     texts = {r.doc_id: r.text for r in docs.collect()}
-    model = toxicity.train(*toxicity.training_sample(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    model = toxicity.trained(toxicity.training_sample(docs, spark.read.parquet(f"{sf}/labels.parquet")))
     clean = {d for d, t in texts.items() if model.score(t) < 0.3}
     assert {r.doc_id for r in results["toxicity"].collect()} == clean
     one = {r.doc_id for r in results["near_dedup"].collect()}
@@ -29,7 +29,7 @@ def test_stages_against_their_operators(spark, sf):
     assert one <= set(seen.values())
     links = [(a, b) for a in one for b in one if a < b and near_duplicates.similarity([*texts[a].split()], [*texts[b].split()])] if len(one) < 60 else []
     assert not links
-    match = decontamination.Matcher(benchmark, 0.15, 5)
+    match = decontamination.Matcher(benchmark, 0.15)
     assert {r.doc_id for r in results["decontamination"].collect()} == {d for d in one if next(match(texts[d]), None) is None}
     for r in results["secret_scan"].collect():
         assert not secrets.base_spans(r.text) or r.text.count("[SECRET]")
@@ -44,6 +44,23 @@ def test_run_is_the_stages(spark, sf):
     assert {"doc_id", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
 
 
+def test_stages_on_hard_rows(spark, hard, none, tmp_path):
+    """Nulls, empty and long texts, ties, repeats and clashing columns through every stage; then an empty table."""
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)] + [(1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "seven more words follow here nowhere else"), (2, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, hard, str(tmp_path)), stage(spark, none, str(tmp_path))
+        assert empty.count() == 0, name
+        if name == "best_fit_packing":
+            pieces = out.collect()
+            assert sum(r.piece == 0 for r in pieces) == hard.count()
+            continue
+        assert out.columns == hard.columns and [f.dataType for f in out.schema] == [f.dataType for f in hard.schema]
+        ids = sorted((r.doc_id for r in out.collect()), key=str)
+        every = sorted((r.doc_id for r in hard.collect()), key=str)
+        assert {"toxicity": set(ids) <= set(every), "near_dedup": ids == sorted([1, 4, 6, 7, 8, 9, None], key=str), "decontamination": ids == every, "secret_scan": ids == every}[name], name
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
