@@ -14,16 +14,17 @@ Work stays in proportion to the input whatever the groups' sizes:
 3. Links are contracted to classes by alternating large-star and small-star steps, each written to the shared
    folder.
 4. Buckets that still hold several classes, and texts too short for sketches, are searched whole. Members of large
-   buckets and short texts meet by rare pairs of neighbouring words, since similar texts share one of a fixed share of
-   their rarest ones; members of other buckets meet there. They meet in blocks of bounded size; pairs of one class, and those whose
-   lengths or bags of words are too far apart, end there. Of what is left, the nearest pairs of two classes are
-   verified first, and others only while their classes stay apart.
+   buckets and short texts meet by rare pairs of neighbouring words, since similar texts share one of the rarest ones
+   that their edits can't all break; members of other buckets meet there. They meet in blocks of bounded size; pairs
+   of one class, and those whose lengths or bags of words are too far apart, end there. Of what is left, the nearest
+   pairs of two classes are verified first, and others only while their classes stay apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -137,20 +138,43 @@ def word_pairs(hashes: np.ndarray) -> np.ndarray:
     return _mixed(np.r_[np.uint64(1 << 40), w[:-1]] * _MIX + w)
 
 
+@lru_cache(maxsize=1 << 16)
+def _edits(n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each length from n to the longest that a text of n words can be similar to: the edits that are allowed, and
+    those of them that can break two of its word pairs (the others insert a word, which breaks one)."""
+    longer = np.arange(n, int(n / least + 1e-9) + 1)
+    allowed = ((1 - least) * longer + 1e-9).astype(np.int64)
+    keep = allowed >= longer - n
+    return allowed[keep], (allowed - (longer - n))[keep]
+
+
 def rare_pairs(hashes: np.ndarray, spread: np.ndarray, least: float) -> np.ndarray:
-    """Of a text's word pairs, each labelled with its occurrence, those that stand first in an order of all pairs, rare
-    ones first; as many as make sure that texts of a similarity of ``least`` share one.
+    """Of a text's distinct word pairs those that stand first in an order of all pairs, rare ones first; as few as make
+    sure that texts of a similarity of ``least`` share one.
 
-    An edit breaks two pairs at most, so a text of L words shares all but 2 d of its pairs with one at most as long at
-    distance d, which is (1 - least) L at most.
+    Of two texts that share none of them, the one whose last stands first in the order has pairs that the other lacks
+    altogether, so that edits break each of their places. An edit breaks one place or, but for an insertion, two
+    neighbouring ones. As many pairs are taken as the allowed edits can't break, whatever the other's length.
     """
     n = len(hashes)
-    needed = max(n - longer + 2 * int((1 - least) * longer + 1e-9) + 1 for longer in range(n, n + 6))
-    p = np.sort(word_pairs(hashes))
-    at = np.arange(n)
-    label = (at - np.maximum.accumulate(np.where(np.r_[True, p[1:] != p[:-1]], at, 0))).astype(np.uint64)
-    order = np.lexsort((label, p, spread[(p % np.uint64(len(spread))).astype(np.int64)]))[:needed]
-    return _mixed(p[order] + label[order] * _MIX).view(np.int64)
+    pairs = word_pairs(hashes)
+    distinct, kind, times = np.unique(pairs, return_inverse=True, return_counts=True)
+    order = np.lexsort((distinct, spread[(distinct % np.uint64(len(spread))).astype(np.int64)]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rank, places = rank[kind], np.cumsum(times[order])
+    allowed, double = _edits(n, least)
+
+    def enough(k: int) -> bool:
+        taken = np.flatnonzero(rank < k)
+        runs = np.diff(np.r_[0, np.flatnonzero(np.diff(taken) > 1) + 1, len(taken)])
+        return len(taken) > int((allowed + np.minimum(double, int((runs // 2).sum()))).max())
+
+    lo, hi = int(np.searchsorted(places, allowed.max(), "right")) + 1, len(order)  # all are enough
+    while lo < hi:
+        mid = min((lo + hi) // 2, lo + 4)
+        lo, hi = (lo, mid) if enough(mid) else (mid + 1, hi)
+    return _mixed(distinct[order[:lo]]).view(np.int64)
 
 
 SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, bag binary, words binary"

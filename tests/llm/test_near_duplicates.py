@@ -211,6 +211,29 @@ def test_similar_texts_share_a_rare_pair(a, edits, rng):
     assert not N.similarity(a, b) or set(x.tolist()) & set(y.tolist())
 
 
+def test_rare_pairs_are_few_and_outlast_edits_aimed_at_them():
+    """Under a third of a text's pairs, where counting two pairs an edit took two fifths; edits that break as many of
+    the taken pairs as they can, by changed or inserted words, leave one."""
+    rng = random.Random(13)
+    for n in (20, 60, 120, 250):
+        for _ in range(20):
+            spread = np.array([rng.randrange(50) for _ in range(1 << 12)])
+            a = np.array([rng.getrandbits(32) for _ in range(n)], np.uint32)
+            taken = N.rare_pairs(a, spread, 0.8)
+            assert len(taken) <= 0.33 * n + 2
+            of = {int(N._mixed(p[None])[0].astype(np.int64)): i for i, p in enumerate(N.word_pairs(a))}
+            places = {of[int(x)] for x in taken}
+            changed, left = a.copy(), set(places)
+            for _ in range(int(0.2 * n + 1e-9)):
+                at = max(range(n), key=lambda i: (i in left) + (i + 1 in left))
+                changed[at], left = rng.getrandbits(32), left - {at, at + 1}
+            added = list(a)
+            for at in sorted(rng.sample(sorted(places), min(len(places), n // 4)), reverse=True):
+                added[at:at] = [rng.getrandbits(32)]
+            for b in (changed, np.array(added, np.uint32)):
+                assert N.similarity(a.tolist(), b.tolist()) and set(taken.tolist()) & set(N.rare_pairs(b, spread, 0.8).tolist())
+
+
 def test_candidates_in_blocks(spark):
     """Every pair of two classes within reach is found once, however the texts of a place are cut."""
     rng = random.Random(6)
