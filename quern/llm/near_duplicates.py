@@ -37,7 +37,7 @@ from quern.llm.common import columns_for, discard, plain_names, written
 from quern.llm.text import banded_distance, words
 
 SHINGLE, FUNCTIONS, MINIMA, SIMILARITY, SHORT = 5, 80, 2, 0.8, 100
-BINS, BROADCAST_ROWS = 256, 1_000_000
+BINS, WIDE, KEYS, BROADCAST_ROWS = 256, 4096, 2048, 1_000_000
 #: Larger buckets of several classes are searched by rare pairs.
 LARGE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,21 +110,60 @@ def _common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(np.bincount(inverse[: len(a)], minlength=len(u)), np.bincount(inverse[len(a) :], minlength=len(u))).sum())
 
 
-def bag(hashes: np.ndarray) -> bytes:
+def bag(hashes: np.ndarray, bins: int = BINS) -> bytes:
     """Counts of words per bin, cut at 255, which brings bags nearer and never apart."""
-    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def outline(hashes: np.ndarray) -> bytes:
+    """What candidates are compared by: up to ``KEYS`` words the sorted 16-bit ends of their hashes, else a wide bag."""
+    return np.sort(hashes.astype("<u2")).tobytes() if len(hashes) <= KEYS else bag(hashes, WIDE)
+
+
+def bag_of(shape: bytes, size: int, bins: int) -> np.ndarray:
+    """The bag of ``bins`` bins of a text's outline."""
+    if size <= KEYS:
+        return np.minimum(np.bincount(np.frombuffer(shape, "<u2") % bins, minlength=bins), 255).astype(np.int16)
+    return np.minimum(np.frombuffer(shape, np.uint8).reshape(-1, bins).sum(0, dtype=np.int64), 255).astype(np.int16)
+
+
+def _apart(shapes: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Twice the least edits between each pair of outlines by the words that the longer has alone; ``j`` ascends and are
+    the longer ones."""
+    out = np.zeros(len(i), np.int64)
+    if not len(i):
+        return out
+    heads = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+    used = {int(k): np.unique(np.frombuffer(shapes[k], "<u2"), return_counts=True) for k in np.unique(np.r_[i, j]) if sizes[k] <= KEYS}
+    wide: dict[int, np.ndarray] = {}
+    dense = np.zeros(1 << 16, np.int64)
+    for lo, hi in zip(heads, np.r_[heads[1:], len(j)], strict=True):
+        k, others = int(j[lo]), i[lo:hi].tolist()
+        if k in used:  # and so are all that are shorter
+            keys, n = used[k]
+            dense[keys] = n
+            ends = np.cumsum([0, *(len(used[x][0]) for x in others)])[:-1]
+            common = np.minimum(dense[np.concatenate([used[x][0] for x in others])], np.concatenate([used[x][1] for x in others]))
+            out[lo:hi] = 2 * (sizes[k] - np.add.reduceat(common, ends))
+            dense[keys] = 0
+        else:
+            for x in (k, *others):
+                if x not in wide:
+                    wide[x] = bag_of(shapes[x], int(sizes[x]), WIDE)
+            out[lo:hi] = [np.abs(wide[x] - wide[k]).sum() + sizes[k] - sizes[x] for x in others]
+    return out
 
 
 def within_reach(roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (i, j) of the pairs of different classes whose lengths and bags allow a similarity of ``least``, and
-    how far their bags are apart; ``sizes`` ascend."""
+    twice the edits that their bags make sure of; ``sizes`` ascend."""
     none = np.zeros(0, np.int64)
     first, second, apart = [none], [none], [none]
     for j in range(1, len(sizes)):
         lo = int(np.searchsorted(sizes, least * sizes[j] - 1e-9))
         i = lo + np.flatnonzero(roots[lo:j] != roots[j])
         if len(i):
-            gap = np.abs(bags[i] - bags[j]).sum(1)
+            gap = np.abs(bags[i] - bags[j]).sum(1) + (sizes[j] - sizes[i])  # twice the words that the longer has alone
             near = gap <= 2 * int((1 - least) * sizes[j] + 1e-9)
             first.append(i[near])
             second.append(np.full(int(near.sum()), j))
@@ -177,7 +216,7 @@ def rare_pairs(hashes: np.ndarray, spread: np.ndarray, least: float) -> np.ndarr
     return _mixed(distinct[order[:lo]]).view(np.int64)
 
 
-SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, bag binary, words binary"
+SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, words binary"
 
 
 def signed(docs: DataFrame, functions: int) -> DataFrame:
@@ -192,10 +231,10 @@ def signed(docs: DataFrame, functions: int) -> DataFrame:
                 digest = np.frombuffer(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), "<i8")
                 ws = words(text)
                 h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-                rows.append((at, key, digest[0], digest[1], sketches(h, functions) if ws else [], bag(h), h.astype("<u4").tobytes()))
+                rows.append((at, key, digest[0], digest[1], sketches(h, functions) if ws else [], h.astype("<u4").tobytes()))
                 at += 1
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SIGNED.split(", ")])
 
     return docs.mapInArrow(run, SIGNED)
@@ -221,7 +260,8 @@ def _linear(shared: DataFrame) -> DataFrame:
 
 
 def _mixed_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, n, node) of the buckets of n members that hold several classes."""
+    """(bucket, n, node) of the buckets whose n members besides the pivot, whose pairs are tried, are of several classes."""
+    shared = shared.where("node > pivot")
     rooted = shared.join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
     mixed = written(rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("bucket", "n"), "mixed")
     rows = written(shared.join(mixed, "bucket").select("bucket", "n", "node"), "mixed")
@@ -247,33 +287,38 @@ def _pair_spread(some: DataFrame, bins: int = 1 << 18) -> np.ndarray:
 
 
 def _by_rare_pairs(some: DataFrame, least: float) -> DataFrame:
-    """(place, node, root) of the rare word pairs of ``some`` (node, root, words); see ``rare_pairs``."""
+    """(place, node, root, size) of the rare word pairs of ``some`` (node, root, words); see ``rare_pairs``."""
     spread = _pair_spread(some)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [rare_pairs(np.frombuffer(v.as_buffer(), "<u4"), spread, least) for v in batch.column(2)]
             of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), *(pa.array(batch.column(i).to_numpy()[of]) for i in (0, 1))], names=["place", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), *(pa.array(batch.column(i).to_numpy()[of]) for i in (0, 1, 3))], names=["place", "node", "root", "size"])
 
-    return some.select("node", "root", "words").mapInArrow(rare, "place long, node long, root long")
+    return some.select("node", "root", "words", "size").mapInArrow(rare, "place long, node long, root long, size int")
 
 
 def _candidates(pairs_of: DataFrame, buckets_of: DataFrame, some: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """(a, b, gap): the pairs of ``some`` (node, root, size, bag) of different classes that share a place and can be
-    similar by their lengths and bags. Places are (place, node, root): rare pairs, of any number of texts, and buckets
-    of at most ``LARGE``, which are compared as they are.
+    """(a, b, gap): the pairs of ``some`` (node, root, size, words) of different classes that share a place and can be
+    similar by their lengths and bags. Rare pairs' places are (place, node, root, size), of any
+    number of texts, buckets' (place, node, root), of at most ``LARGE``, which are compared as they are. A place of two
+    texts whose lengths are too far apart is left out.
 
     A place's texts of its most frequent class are one side, all others the other; both are cut into blocks of some
     ``block`` texts and each pair of blocks is compared in memory, so that a place of many texts is many tasks' work.
     """
 
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        groups, nodes, roots, sizes, bags = columns
+        groups, nodes, roots, sizes, shapes = columns
         heads = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(1)])
         a, b, gap = [], [], []
         for lo, hi in zip(heads, np.r_[heads[1:], len(groups)], strict=True):
-            i, j, d = within_reach(roots[lo:hi], sizes[lo:hi], bags[lo:hi], least)
+            own, size = shapes[lo:hi].tolist(), sizes[lo:hi].astype(np.int64)
+            i, j, _ = within_reach(roots[lo:hi], size, np.stack([bag_of(x, n, BINS) for x, n in zip(own, size, strict=True)]), least)
+            d = _apart(own, size, i, j)
+            near = d <= 2 * ((1 - least) * size[j] + 1e-9).astype(np.int64)
+            i, j, d = i[near], j[near], d[near]
             a.append(nodes[lo:hi][i])
             b.append(nodes[lo:hi][j])
             gap.append(d)
@@ -287,7 +332,7 @@ def _candidates(pairs_of: DataFrame, buckets_of: DataFrame, some: DataFrame, lea
             if not len(batch):
                 continue
             new = [np.stack([batch.column(i).to_numpy() for i in range(2)], 1), *(batch.column(i).to_numpy() for i in range(2, 5))]
-            new.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16))
+            new.append(np.array(batch.column(5).to_pylist(), object))
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             whole = int(np.flatnonzero(np.r_[True, (held[0][1:] != held[0][:-1]).any(1)])[-1])  # the last group may go on
             if whole:
@@ -296,23 +341,33 @@ def _candidates(pairs_of: DataFrame, buckets_of: DataFrame, some: DataFrame, lea
         if held:
             yield pairs(held)
 
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [outline(np.frombuffer(v.as_buffer(), "<u4")) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shapes, pa.binary())], names=["node", "size", "shape"])
+
     places = written(pairs_of, "places")
-    by_root = places.groupBy("place", "root").agg(F.count("*").alias("n"))
-    groups = by_root.groupBy("place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    held = places.groupBy("place").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    held = written(held.where((F.col("a") < F.col("b")) & ((F.col("n") > 2) | (F.col("lo") >= least * F.col("hi") - 1e-9))).select("place"), "held")
+    rows = written(places.join(held, "place").select("place", "node", "root"), "rows")
+    discard(places, held)
+    by_root = rows.groupBy("place", "root").agg(F.count("*").alias("n"))
+    groups = by_root.groupBy("place").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
     cut = lambda n: F.ceil(n / block).cast("int")
     groups = written(groups.select("place", F.col("most.root").alias("main"), cut(F.col("most.n")).alias("t_main"), cut(F.col("n") - F.col("most.n")).alias("t_rest")), "groups")
-    rows = places.join(groups, "place")
+    placed = rows.join(groups, "place")
     salt = F.xxhash64("node")
     main, rest = F.pmod(salt, F.col("t_main")).cast("int"), F.pmod(salt, F.col("t_rest")).cast("int")
     number = lambda kind, x, y: F.lit(kind) * (1 << 60) + x.cast("long") * (1 << 30) + y
     every = lambda t, of: F.transform(F.sequence(F.lit(0), F.col(t) - 1), of)
     across = F.when(F.col("root") == F.col("main"), every("t_rest", lambda j: number(1, main, j))).otherwise(every("t_main", lambda j: number(1, j, rest)))
     inside = F.when((F.col("root") != F.col("main")) & (F.col("t_rest") > 1), every("t_rest", lambda j: number(0, F.least(rest, j), F.greatest(rest, j)))).otherwise(F.array().cast("array<bigint>"))
-    dealt = rows.select("place", "node", "root", F.explode(F.concat(across, inside)).alias("part"))
-    dealt = dealt.unionByName(buckets_of.select("place", "node", "root", F.lit(-1).cast("long").alias("part"))).join(some.select("node", "size", "bag"), "node")
-    found = dealt.select("place", "part", "node", "root", "size", "bag").repartition("place", "part").sortWithinPartitions("place", "part", "size").mapInArrow(run, "a long, b long, gap long")
+    dealt = placed.select("place", "node", "root", F.explode(F.concat(across, inside)).alias("part"))
+    dealt = dealt.unionByName(buckets_of.select("place", "node", "root", F.lit(-1).cast("long").alias("part")))
+    dealt = dealt.join(some.select("node", "size", "words").mapInArrow(outlined, "node long, size int, shape binary"), "node")
+    found = dealt.select("place", "part", "node", "root", "size", "shape").repartition("place", "part").sortWithinPartitions("place", "part", "size").mapInArrow(run, "a long, b long, gap long")
     out = written(found.groupBy("a", "b").agg(F.min("gap").alias("gap")), "candidates")
-    discard(places, groups)
+    discard(rows, groups)
     return out
 
 
@@ -391,8 +446,8 @@ def _linked(nodes: DataFrame, functions_of: DataFrame, least: float, short: int)
     if not (n := every.count()):
         discard(tried, mixed, by_pair, every)
         return roots
-    known = _semi(nodes.select("node", "size", "bag", "words"), every, n).join(roots, "node", "left")
-    some = written(known.select("node", F.coalesce("root", "node").alias("root"), "size", "bag", "words"), "some")
+    known = _semi(nodes.select("node", "size", "words"), every, n).join(roots, "node", "left")
+    some = written(known.select("node", F.coalesce("root", "node").alias("root"), "size", "words"), "some")
     of_bucket = by_bucket.join(roots, "node", "left").select(F.col("bucket").alias("place"), "node", F.coalesce("root", "node").alias("root"))
     left = _candidates(_by_rare_pairs(_semi(some, by_pair, n), least), of_bucket, some, least)
     discard(mixed, by_pair, every, some)
@@ -428,7 +483,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIO
     own = written(table.groupBy("d1", "d2").agg(F.min("row_no").alias("node")), "own")  # apart from the join, as "sizes" below
     members = written(table.select("row_no", "doc_id", "d1", "d2").join(own, ["d1", "d2"]), "members")
     kept = _semi(table.withColumnRenamed("row_no", "node"), own.select("node"), own.count())
-    nodes = written(kept.select("node", (F.octet_length("words") / 4).cast("int").alias("size"), "bag", "words"), "nodes")
+    nodes = written(kept.select("node", (F.octet_length("words") / 4).cast("int").alias("size"), "words"), "nodes")
     sketched = written(kept.select("node", "sketch"), "sketches")
     discard(table, own)
     roots = _linked(nodes, sketched, least, short)

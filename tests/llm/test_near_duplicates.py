@@ -234,6 +234,33 @@ def test_rare_pairs_are_few_and_outlast_edits_aimed_at_them():
                 assert N.similarity(a.tolist(), b.tolist()) and set(taken.tolist()) & set(N.rare_pairs(b, spread, 0.8).tolist())
 
 
+def test_candidates_are_compared_by_all_their_words(spark):
+    """Long texts that share three quarters of their words, and one that is near another: bags of 256 bins let all pass."""
+    rng = random.Random(14)
+    passage = [rng.getrandbits(32) for _ in range(600)]
+    texts = [passage + [rng.getrandbits(32) for _ in range(200)] for _ in range(40)]
+    texts.append(texts[0][:700] + [rng.getrandbits(32) for _ in range(100)])
+    rows = [(i, i, len(w), bytearray(N.bag(np.array(w, np.uint64))), bytearray(np.array(w, "<u4").tobytes())) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node long, root long, size int, bag binary, words binary")
+    none = spark.createDataFrame([], "place long, node long, root long")
+    buckets = df.selectExpr("7L AS place", "node", "root")
+    pairs = N._by_rare_pairs(df, 0.8)
+    assert [(r.a, r.b) for r in N._candidates(pairs, buckets, df, 0.8).collect()] == [(0, 40)]
+    assert [(r.a, r.b) for r in N._candidates(pairs, none, df, 0.8).collect()] == [(0, 40)]
+
+
+def test_outlines_bring_texts_nearer():
+    """Of either kind, they never say more edits than there are."""
+    rng = random.Random(15)
+    for n in (30, 2040, 2060):
+        for _ in range(6):
+            a = [rng.randrange(n // 3) for _ in range(n)]
+            b = [x if rng.random() > 0.1 else rng.randrange(n) for x in a] + [rng.randrange(n) for _ in range(rng.randint(0, n // 10))]
+            sizes = np.array([len(a), len(b)])
+            apart = N._apart([N.outline(np.array(w, np.uint64)) for w in (a, b)], sizes, np.array([0]), np.array([1]))[0]
+            assert 0 <= apart <= 2 * banded_distance(a, b, len(b))
+
+
 def test_candidates_in_blocks(spark):
     """Every pair of two classes within reach is found once, however the texts of a place are cut."""
     rng = random.Random(6)
