@@ -6,11 +6,11 @@ edit distance and not merely with a common bag of k-mers. Every function is a ba
 
 Work stays in proportion to the input whatever the groups' sizes:
 
-1. Every text gets a row number, a digest, its sketches and its word hashes, written once. Exact copies meet by
-   digest; one of each stands for them.
+1. Every text gets a row number, a digest, its sketches and its word hashes, written once; no later table holds them
+   for all texts again. Exact copies meet by digest; one of each stands for them.
 2. Each band's bucket is aggregated to its least member, the pivot, and every other member is paired with that
-   alone: a bucket of n gives n - 1 pairs, never n * n. Pairs of all bands are made distinct before texts join, and
-   those whose edit similarity over words reaches the threshold are links.
+   alone: a bucket of n gives n - 1 pairs, never n * n. Pairs of all bands are made distinct, those too unlike in
+   length go before texts join, and those whose edit similarity over words reaches the threshold are links.
 3. Links are contracted to classes by alternating large-star and small-star steps, each written to the shared
    folder.
 4. Buckets that still hold several classes, and texts too short for sketches, are searched whole. Members of large
@@ -216,11 +216,11 @@ def rare_pairs(hashes: np.ndarray, spread: np.ndarray, least: float) -> np.ndarr
     return _mixed(distinct[order[:lo]]).view(np.int64)
 
 
-SIGNED = "row_no long, doc_id long, d1 long, d2 long, sketch array<long>, words binary"
+SIGNED = "row_no long, doc_id long, d1 long, d2 long, size int, sketch array<long>, words binary"
 
 
 def signed(docs: DataFrame, functions: int) -> DataFrame:
-    """A row number unique in the table, the digest, the sketches and the word hashes of each document."""
+    """A row number unique in the table, the digest, the number of words, the sketches and the word hashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, at = _Hashes(), TaskContext.get().partitionId() << 36
@@ -231,10 +231,10 @@ def signed(docs: DataFrame, functions: int) -> DataFrame:
                 digest = np.frombuffer(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), "<i8")
                 ws = words(text)
                 h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-                rows.append((at, key, digest[0], digest[1], sketches(h, functions) if ws else [], h.astype("<u4").tobytes()))
+                rows.append((at, key, digest[0], digest[1], len(ws), sketches(h, functions) if ws else [], h.astype("<u4").tobytes()))
                 at += 1
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SIGNED.split(", ")])
 
     return docs.mapInArrow(run, SIGNED)
@@ -259,6 +259,12 @@ def _linear(shared: DataFrame) -> DataFrame:
     return shared.where("node > pivot").select("pivot", "node").distinct()
 
 
+def _alike_in_length(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """The pairs (pivot, node) whose lengths allow a similarity of ``least``: no other has its words looked up."""
+    both = pairs.join(sizes, "node").join(sizes.select(F.col("node").alias("pivot"), F.col("size").alias("other")), "pivot")
+    return both.where(F.least("size", "other") >= least * F.greatest("size", "other") - 1e-9).select("pivot", "node")
+
+
 def _mixed_rows(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, n, node) of the buckets whose n members besides the pivot, whose pairs are tried, are of several classes."""
     shared = shared.where("node > pivot")
@@ -387,9 +393,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame | N
     pairs = written(pairs, "pairs")
     if not (rows := pairs.count()):
         return None
-    ids = pairs.select("node").union(pairs.select("pivot")).distinct()
-    texts = _semi(nodes.select("node", "words"), ids, 2 * rows)
-    a, b = texts.select(F.col("node").alias("pivot"), F.col("words").alias("a")), texts.select("node", F.col("words").alias("b"))
+    of = lambda side: _semi(nodes.select("node", "words"), pairs.select(F.col(side).alias("node")).distinct(), rows)
+    a, b = of("pivot").select(F.col("node").alias("pivot"), F.col("words").alias("a")), of("node").select("node", F.col("words").alias("b"))
     both = pairs.join(b, "node").join(a, "pivot").select("pivot", "node", "a", "b")
     out = written(both.mapInArrow(run, "pivot long, node long, similarity double"), "tried")
     discard(pairs)
@@ -430,17 +435,24 @@ def _with_links(roots: DataFrame, tried: DataFrame, new: DataFrame) -> tuple[Dat
     return roots, both
 
 
-def _linked(nodes: DataFrame, functions_of: DataFrame, least: float, short: int) -> DataFrame:
-    """(node, root) of the texts that links connect; see ``classes``."""
-    shared = _shared(functions_of.select("node", F.explode("sketch").alias("bucket")))
-    tried = _verified(_linear(shared), nodes, least)
+def _linked(nodes: DataFrame, own: DataFrame, least: float, short: int) -> DataFrame:
+    """(node, root) of the texts that links connect; see ``classes``. ``own`` (node, size) are the nodes that stand for
+    their copies; ``nodes`` (node, size, sketch, words) may hold others, which nothing asks for."""
+    n = own.count()
+    sketched = _semi(nodes.select("node", "sketch"), own.select("node"), n)
+    if n > BROADCAST_ROWS:  # else that join would be dealt out for each of the two reads
+        sketched = written(sketched, "sketches")
+    shared = _shared(sketched.select("node", F.explode("sketch").alias("bucket")))
+    if n > BROADCAST_ROWS:
+        discard(sketched)
+    tried = _verified(_alike_in_length(_linear(shared), own.select("node", "size"), least), nodes, least)
     if tried is None:
         tried = written(nodes.sparkSession.createDataFrame([], "pivot long, node long, similarity double"), "tried")
     roots = components(tried.where("similarity > 0").select("pivot", "node"))
     mixed = _mixed_rows(shared, roots)
     discard(shared)
     # Members of large buckets and short texts are searched by rare pairs, those of other buckets by bucket.
-    by_pair = written(nodes.where((F.col("size") > 0) & (F.col("size") < short / least)).select("node").union(mixed.where(F.col("n") > LARGE).select("node")).distinct(), "chosen")
+    by_pair = written(own.where((F.col("size") > 0) & (F.col("size") < short / least)).select("node").union(mixed.where(F.col("n") > LARGE).select("node")).distinct(), "chosen")
     by_bucket = mixed.where(F.col("n") <= LARGE)
     every = written(by_pair.union(by_bucket.select("node")).distinct(), "chosen")
     if not (n := every.count()):
@@ -480,17 +492,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, functions: int = FUNCTIO
     not looked at.
     """
     table = written(signed(columns_for(docs, k=key, t=text), functions), "signed")
-    own = written(table.groupBy("d1", "d2").agg(F.min("row_no").alias("node")), "own")  # apart from the join, as "sizes" below
-    members = written(table.select("row_no", "doc_id", "d1", "d2").join(own, ["d1", "d2"]), "members")
-    kept = _semi(table.withColumnRenamed("row_no", "node"), own.select("node"), own.count())
-    nodes = written(kept.select("node", (F.octet_length("words") / 4).cast("int").alias("size"), "words"), "nodes")
-    sketched = written(kept.select("node", "sketch"), "sketches")
+    own = written(table.groupBy("d1", "d2").agg(F.min("row_no").alias("node"), F.max("size").alias("size")), "own")  # apart from the join, as "sizes" below
+    members = written(table.select("row_no", "doc_id", "d1", "d2").join(own.drop("size"), ["d1", "d2"]), "members")
+    roots = _linked(table.withColumnRenamed("row_no", "node"), own, least, short)
     discard(table, own)
-    roots = _linked(nodes, sketched, least, short)
     placed = written(members.join(roots, "node", "left").select("row_no", "doc_id", "d1", "d2", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first"))
     sizes = written(sizes, "sizes")  # apart from the join below, whose large classes AQE can then split
-    discard(members, nodes, sketched, roots)
+    discard(members, roots)
     return placed.join(sizes, "root").select("doc_id", "class_id", "class_size", "row_no", "d1", "d2", (F.col("row_no") == F.col("first.row_no")).alias("stays"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -295,3 +296,52 @@ def test_reach_drops_no_pair():
         bags = np.stack([np.frombuffer(N.bag(np.array(x, np.uint64)), np.uint8) for x in (a, b)]).astype(np.int16)
         found = len(N.within_reach(np.array([0, 1]), np.array([len(a), len(b)]), bags, 0.8)[0])
         assert found or not N.similarity(a, b)
+
+
+def test_texts_are_written_once(spark, monkeypatch):
+    """The work folder never holds a second copy of all texts' words and sketches."""
+    rng = random.Random(16)
+    vocabulary = [f"v{i}" for i in range(60_000)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=300))) for i in range(300)], "doc_id long, text string").coalesce(1)
+    held, peak = {}, []
+
+    def written(table, tag, write=N.written):
+        out = write(table, tag)
+        held[out._quern_path] = sum(p.stat().st_size for p in Path(out._quern_path.removeprefix("file:")).glob("*.parquet"))
+        peak.append(sum(held.values()))
+        return out
+
+    def discard(*tables, drop=N.discard):
+        drop(*tables)
+        for t in tables:
+            del held[t._quern_path]
+
+    monkeypatch.setattr(N, "written", written)
+    monkeypatch.setattr(N, "discard", discard)
+    assert {r.class_size for r in N.classes(df).collect()} == {1}
+    assert max(peak) < 1.3 * 300 * (4 * 300 + 8 * N.FUNCTIONS)
+    held.clear()
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)  # sketches of those kept are then written once more, words are not
+    peak.clear()
+    assert {r.class_size for r in N.classes(df).collect()} == {1}
+    assert max(peak) < 1.3 * 300 * (4 * 300 + 2 * 8 * N.FUNCTIONS)
+
+
+def test_pairs_of_unlike_lengths_are_not_looked_up(spark, monkeypatch):
+    """A passage of 120 words with nothing else, twice, and amid 10 or 400 words of others' own."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    sizes = [0, 10, *[400] * 20]
+    df = spark.createDataFrame([(i, passage + "".join(f" u{i}x{k}" for k in range(n))) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    asked = []
+
+    def verified(pairs, *rest, verify=N._verified):
+        asked.extend((r.pivot, r.node) for r in pairs.collect())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(N, "_verified", verified)
+    rows = {r.doc_id: r.class_id for r in N.classes(df).collect()}
+    assert rows == {i: 0 if i < 2 else i for i in range(len(sizes))}
+    assert (0, 1) in asked and all(b == 1 or a > 1 for a, b in asked)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (2, 3)], "pivot long, node long")
+    lengths = spark.createDataFrame([(1, 100), (2, 125), (3, 126), (4, 80)], "node long, size int")
+    assert sorted(tuple(r) for r in N._alike_in_length(pairs, lengths, 0.8).collect()) == [(1, 2), (2, 3), (4, 1)]
